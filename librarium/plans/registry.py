@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from librarium.session import table
+from librarium.operators import multivalue
+from librarium.session import fan_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +37,30 @@ def book_stats(spark: SparkSession, sf: str) -> DataFrame:
     books = table(spark, sf, "books").select(F.col("id").alias("book_id"))
     zero = lambda c, t: F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
     return books.join(per, "book_id", "left").select("book_id", zero("words", "decimal(38,2)"), zero("images", "bigint"), zero("chapters", "bigint"))
+
+
+def _packed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Elements of book_metadata.tags and sections of books.file_path as (field, row_id, elem, text); the known values."""
+    tags = multivalue.elements_of(fan_out(table(spark, sf, "book_metadata").select("meta_id", "tags")), "meta_id")
+    section = multivalue.file_name_section(F.col("file_path"))
+    paths = table(spark, sf, "books").select(F.lit("file_path").alias("field"), F.col("id").alias("row_id"), F.lit(0).alias("elem"), section.alias("text")).filter("text IS NOT NULL")
+    return tags.select(F.lit("tags").alias("field"), "row_id", "elem", "text").unionByName(paths), multivalue.dictionary(tags)
+
+
+@query()
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    packed, known = _packed(spark, sf)
+    return multivalue.split_values(packed, known=known, keep=["field", "row_id", "elem"]).distinct()
+
+
+@query()
+def p5_values(spark: SparkSession, sf: str) -> DataFrame:
+    """All values, those of elements that hold one alone included."""
+    packed, known = _packed(spark, sf)
+    return multivalue.split_values(packed, known=known, keep=["field", "row_id", "elem"], everything=True)
+
+
+@query()
+def p5_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    tags = multivalue.elements_of(table(spark, sf, "book_metadata").select("meta_id", "tags"), "meta_id")
+    return multivalue.dictionary(tags)
