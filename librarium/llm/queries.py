@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from librarium.llm import bpe, mixing, splitting
+from librarium.llm import bpe, cooccurrence, formatting, lookalike, mixing, mojibake, splitting
+from librarium.operators import multivalue
 from librarium.session import fan_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,5 +40,50 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_documents(fan_out(table(spark, sf, "documents").select("doc_id", "text")), split_limits(spark, sf))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p8_ids, p8_counts, p9_mixture, p9_shares, p10_pieces)}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return formatting.copies(fan_out(table(spark, sf, "books").select("id", "title", "author", "file_path")))
+
+
+def p3_records(spark: SparkSession, sf: str) -> DataFrame:
+    return formatting.records(fan_out(table(spark, sf, "books").select("id", "title", "author", "file_path")))
+
+
+GARBLED_FIELDS = ["title", "author", "publisher"]
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.garbled(fan_out(table(spark, sf, "book_metadata").select("meta_id", *GARBLED_FIELDS)), GARBLED_FIELDS).select("meta_id", "field").distinct()
+
+
+def p4_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Each garbled value with the best text that could be reached."""
+    return mojibake.garbled(fan_out(table(spark, sf, "book_metadata").select("meta_id", *GARBLED_FIELDS)), GARBLED_FIELDS)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.same_look(fan_out(table(spark, sf, "books").select("id", "title", "author")), ["title", "author"])
+
+
+def p6_consistent(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.normalized(fan_out(table(spark, sf, "books").select("id", "title", "author")), ["title", "author"])
+
+
+def single_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """(meta_id, tag): the single values of book_metadata.tags in lower case."""
+    elements = multivalue.elements_of(fan_out(table(spark, sf, "book_metadata").select("meta_id", "tags")), "meta_id")
+    values = multivalue.split_values(elements, keep=["row_id"], everything=True)
+    return values.select(F.col("row_id").alias("meta_id"), cooccurrence.item_key(F.col("item")).alias("tag"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = cooccurrence.cooccurrence(single_tags(spark, sf), "meta_id", "tag", min_pairs=5, min_share=0.005, min_lift=4)
+    return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
+
+
+def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs with counts, lift and pointwise mutual information."""
+    return cooccurrence.cooccurrence(single_tags(spark, sf), "meta_id", "tag")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_records, p4_found, p4_restored, p6_found, p6_consistent, p7_found, p7_pairs, p8_ids, p8_counts, p9_mixture, p9_shares, p10_pieces)}
 SQL: dict[str, str] = {}
