@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from librarium.llm import bpe, cooccurrence, formatting, lookalike, mixing, mojibake, splitting
+from librarium.llm import bpe, cooccurrence, formatting, lookalike, mixing, mojibake, names, splitting, truncation
 from librarium.operators import multivalue
 from librarium.session import fan_out, table
 
@@ -40,6 +40,31 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_documents(fan_out(table(spark, sf, "documents").select("doc_id", "text")), split_limits(spark, sf))
 
 
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Each spelling of an author with the entity it means."""
+    meta = fan_out(table(spark, sf, "book_metadata").select("title", "author", "publisher"))
+    texts = meta.select(F.explode(F.array("title", "author", "publisher")).alias("text")).filter("text IS NOT NULL AND text <> ''")
+    return names.variants(meta, "author", texts)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.pairs(p1_entities(spark, sf))
+
+
+def _cut(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    meta = fan_out(table(spark, sf, "book_metadata").select("meta_id", "source", "description"))
+    return meta, truncation.truncated(meta)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _cut(spark, sf)[1].filter("cut").select("meta_id").distinct()
+
+
+def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of cut descriptions among the non-null ones of each source."""
+    return truncation.shares(*_cut(spark, sf))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return formatting.copies(fan_out(table(spark, sf, "books").select("id", "title", "author", "file_path")))
 
@@ -85,5 +110,5 @@ def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cooccurrence.cooccurrence(single_tags(spark, sf), "meta_id", "tag")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_records, p4_found, p4_restored, p6_found, p6_consistent, p7_found, p7_pairs, p8_ids, p8_counts, p9_mixture, p9_shares, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_restored, p6_found, p6_consistent, p7_found, p7_pairs, p8_ids, p8_counts, p9_mixture, p9_shares, p10_pieces)}
 SQL: dict[str, str] = {}
