@@ -28,100 +28,122 @@ RANGE = 1 << 20
 HALO = 1 << 12
 
 
-def boundary_table(cps: np.ndarray, cls: np.ndarray, starts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: places to cut (character offsets), tokens before each, and how good each is.
+def places(cps: np.ndarray, cls: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pre-tokens of a chunk of texts: which begin at a place to cut, and how good each place is.
 
-    Every start of a pre-token is a place, but white space stays with what it follows; the end of the text is the last
-    place. A single space belongs to the pre-token it leads, so a cut before it is a cut between words.
+    White space stays with what follows it, so a place is the start of a pre-token that stands after a character that
+    is not white; a cut there changes no pre-token on either side. White space at the end of a text is no place.
+    first marks the first code point of each text.
     """
     n = len(cps)
-    upto = np.concatenate([[0], np.cumsum(tokens)])
-    pos = np.append(starts, n)
-    keep = np.ones(len(pos), bool)
     white = cls == S
-    inner = pos[1:-1]
-    lead = cps[inner] == 0x20
-    only_white = white[inner] & ~(lead & ~white[np.minimum(inner + 1, n - 1)])
-    keep[1:-1] = ~only_white
-    pos, upto = pos[keep], upto[keep]
-    good = np.full(len(pos), WORD, np.int8)
-    if len(pos) > 2:
-        p = pos[1:-1]
-        # the last character before the place that is neither white nor a closing mark
-        idx = np.arange(n)
-        solid = np.maximum.accumulate(np.where(white, -1, idx))
-        body = np.maximum.accumulate(np.where(white | np.isin(cps, _CLOSE), -1, idx))
-        last = cps[np.maximum(body[p - 1], 0)]
-        breaks = np.concatenate([[0], np.cumsum(np.isin(cps, _NEWLINE) & ~((cps == 0x0A) & np.concatenate([[False], cps[:-1] == 0x0D])))])
-        lines = breaks[p] - breaks[np.maximum(solid[p - 1], 0)]
-        spaced = white[p] | white[p - 1] | (last >= 0x2E80)
-        g = np.full(len(p), WORD, np.int8)
-        glued = ~white[p] & ~white[p - 1] & (cls[p] == L) & (cls[p - 1] == L)
-        g[glued] = INSIDE
-        g[spaced & np.isin(last, _CLAUSE)] = CLAUSE
-        after_close = np.isin(cps[p], _CLOSE) & ~white[p - 1]
-        g[spaced & np.isin(last, _END) & ~after_close] = SENTENCE
-        tag = (cps[np.maximum(solid[p - 1], 0)] == 0x3E) | (cps[p] == 0x3C)  # an HTML tag ends or begins
-        g[tag & (g < SENTENCE)] = SENTENCE
-        g[lines == 1] = LINE
-        g[lines >= 2] = PARAGRAPH
-        good[1:-1] = g
-    good[0] = good[-1] = PARAGRAPH
-    return pos, upto, good
-
-
-def inner_places(cps: np.ndarray, a: int, b: int, tok, limit: int) -> list[tuple[int, int]]:
-    """Cuts inside one pre-token that alone is over the limit: (offset, tokens of the part before) of each part.
-
-    Parts end between characters; a part takes as many characters as fit (found by doubling and halving, so the cost
-    stays near linear). Combining marks and joiners stay with the character they follow where a part allows it.
+    p = np.minimum(starts, n - 1)
+    before = np.maximum(p - 1, 0)
+    ok = ~white[before] & ~first[p]
+    idx = np.arange(n)
+    # for each place the next character that is not white, and the last one before it that is no closing mark
+    ahead = np.minimum.accumulate(np.where(white, n, idx)[::-1])[::-1]
+    doc = np.cumsum(first)
+    nxt = ahead[p]
+    ok &= nxt < n
+    nxt = np.minimum(nxt, n - 1)
+    ok &= doc[nxt] == doc[p]
+    close = np.isin(cps, _CLOSE)
+    last = cps[np.maximum(np.maximum.accumulate(np.where(white | close, -1, idx))[before], 0)]
+    newline = np.isin(cps, _NEWLINE)
+    newline[1:] &= ~((cps[1:] == 0x0A) & (cps[:-1] == 0x0D))
+    breaks = np.concatenate([[0], np.cumsum(newline)])
+    lines = breaks[nxt] - breaks[p]
+    spaced = white[p] | (last >= 0x2E80)
+    g = np.full(len(p), WORD, np.int8)
+    g[spaced & np.isin(last, _CLAUSE)] = CLAUSE
+    g[spaced & np.isin(last, _END) & ~close[p]] = SENTENCE
+    tag = (cps[before] == 0x3E) | (cps[nxt] == 0x3C)  # an HTML tag ends or begins
+    g[tag & (g < SENTENCE)] = SENTENCE
+    g[lines == 1] = LINE
+    g[lines >= 2] = PARAGRAPH
+    return ok, g
+
+
+class Inner:
+    """Places inside long pre-tokens, at the ends of their tokens where those are ends of characters; found once for each distinct pre-token."""
+
+    def __init__(self, tok):
+        self.tok = tok
+        self.size = np.zeros(max(tok.ranks.values()) + 1, np.int64)
+        for token, rank in tok.ranks.items():
+            self.size[rank] = len(token)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.store = self.tok.known
+        self.kept: dict[int, int] = {}
+        self.begin = np.zeros(1, np.int64)
+        self.flat_o = self.flat_t = np.zeros(0, np.int64)
+
+    def _learn(self, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray, gap: int) -> None:
+        """Ends of tokens that are ends of characters, for all new pre-tokens at once: both are laid end to end by their bytes."""
+        t = self.tok
+        n_tok, n_chr = t.count[rows].astype(np.int64), ends - starts
+        tok_end, chr_end = np.cumsum(n_tok), np.cumsum(n_chr)
+        ids = t.ids[np.repeat(t.begin[rows] - (tok_end - n_tok), n_tok) + np.arange(int(tok_end[-1]))]
+        c = cps[np.repeat(starts - (chr_end - n_chr), n_chr) + np.arange(int(chr_end[-1]))]
+        token_bytes = np.cumsum(self.size[ids])
+        char_bytes = np.cumsum(1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000))
+        at = np.searchsorted(char_bytes, token_bytes)
+        word = np.repeat(np.arange(len(rows)), n_tok)
+        nth = np.arange(len(ids)) - np.repeat(tok_end - n_tok, n_tok) + 1
+        hit = np.flatnonzero((char_bytes[at] == token_bytes) & (nth < n_tok[word]))
+        bin_ = nth[hit] // gap
+        if len(hit):  # one place in `gap` tokens is enough
+            first = np.ones(len(hit), bool)
+            first[1:] = (bin_[1:] != bin_[:-1]) | (word[hit][1:] != word[hit][:-1])
+            hit = hit[first]
+        places_of = np.bincount(word[hit], minlength=len(rows))
+        self.flat_o = np.concatenate([self.flat_o, at[hit] + 1 - (chr_end - n_chr)[word[hit]]])
+        self.flat_t = np.concatenate([self.flat_t, nth[hit]])
+        base = len(self.kept)
+        self.kept.update(zip(rows.tolist(), range(base, base + len(rows))))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(places_of)])
+
+    def of(self, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For pre-tokens by their rows and bounds: how many places each has, their offsets in characters, the tokens before them."""
+        if self.store is not self.tok.known:  # the tokenizer began a new store
+            self._reset()
+        distinct, example, which = np.unique(rows, return_index=True, return_inverse=True)
+        fresh = np.array([r not in self.kept for r in distinct.tolist()])
+        if fresh.any():
+            i = example[fresh]
+            self._learn(distinct[fresh], starts[i], ends[i], cps, gap)
+        k = np.array([self.kept[r] for r in distinct.tolist()])[which]
+        begin, n = self.begin[k], self.begin[k + 1] - self.begin[k]
+        stop = np.cumsum(n)
+        take = np.repeat(begin - (stop - n), n) + np.arange(int(stop[-1]))
+        return n, self.flat_o[take], self.flat_t[take]
+
+
+def table_of(cps, cls, starts, rows, tokens, first, step: int, inner: Inner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a chunk of texts in order (offsets in the chunk), tokens of the chunk before each, how good each is.
+
+    Pre-tokens of more than `step` tokens get places inside. The ends of the texts themselves are not listed.
     """
-    out, at = [], a
-    size = lambda x, y: int(tok.count_many([cps[x:y].tobytes().decode("utf-32-le")])[0])
-    while at < b:
-        good, step = at + 1, max(1, limit)
-        while at + step <= b and size(at, at + step) <= limit:
-            good, step = at + step, step * 2
-        lo, hi = good, min(b, at + step)
-        if size(at, hi) <= limit:
-            lo = hi
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            if size(at, mid) <= limit:
-                lo = mid
-            else:
-                hi = mid
-        out.append((lo, size(at, lo)))
-        at = lo
-    return out
-
-
-def refine(pos: np.ndarray, upto: np.ndarray, good: np.ndarray, cps: np.ndarray, tok, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Add places inside the pre-tokens that have more than `step` tokens."""
-    big = np.flatnonzero(np.diff(upto) > step)
-    if not len(big):
-        return pos, upto, good
-    add_p, add_u = [], []
-    shift = np.zeros(len(upto), np.int64)
-    for i in big.tolist():
-        parts = inner_places(cps, int(pos[i]), int(pos[i + 1]), tok, step)
-        u = int(upto[i])
-        total = sum(t for _, t in parts)
-        for p, t in parts[:-1]:
-            u += t
-            add_p.append(p)
-            add_u.append((i, u))
-        shift[i + 1 :] += total - int(upto[i + 1] - upto[i])
-    u2 = [u + int(shift[i]) for i, u in add_u]
-    p = np.concatenate([pos, np.asarray(add_p, pos.dtype)])
-    u = np.concatenate([upto + shift, np.asarray(u2, upto.dtype)])
-    g = np.concatenate([good, np.full(len(add_p), INSIDE, np.int8)])
-    o = np.argsort(p, kind="stable")
-    return p[o], u[o], g[o]
-
-
-def choose(pos: list[int], upto: list[int], good: list[int], limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
-    """Pieces (start, end, tokens, kind of the cut at the end) over the places of one text.
+    ok, good = places(cps, cls, starts, first)
+    upto = np.concatenate([[0], np.cumsum(tokens)])
+    sel = np.flatnonzero(ok)
+    pos, u, g = starts[sel], upto[sel], good[sel]
+    big = np.flatnonzero(tokens > step)
+    if len(big):
+        n, offsets, inside = inner.of(rows[big], starts[big], np.append(starts[1:], len(cps))[big], cps, max(1, step // 2))
+        pos = np.concatenate([pos, np.repeat(starts[big], n) + offsets])
+        u = np.concatenate([u, np.repeat(upto[big], n) + inside])
+        g = np.concatenate([g, np.full(int(n.sum()), INSIDE, np.int8)])
+        o = np.argsort(pos, kind="stable")
+        pos, u, g = pos[o], u[o], g[o]
+    return pos, u, g
+
+
+def choose(pos: list[int], upto: list[int], good: list[int], limit: int, overlap: int) -> list[tuple[int, int, int, int, bool]]:
+    """Pieces (start, end, tokens, kind of the cut at the end, whether a pre-token is cut at either end) over the places of one text.
 
     Each piece ends at the best place between FILL of the limit and the limit (the last of equal ones), or at the last
     place below that if there is none. The next piece begins at the place nearest to `overlap` tokens before the end
@@ -132,7 +154,7 @@ def choose(pos: list[int], upto: list[int], good: list[int], limit: int, overlap
     while True:
         top = bisect_right(upto, upto[i] + limit) - 1
         if top >= last:
-            out.append((pos[i], pos[last], upto[last] - upto[i], good[last]))
+            out.append((pos[i], pos[last], upto[last] - upto[i], good[last], i > 0 and not good[i]))
             return out
         floor = max(bisect_right(upto, upto[i] + int(limit * FILL)), i + 1)
         if out:  # ends must advance
@@ -143,33 +165,34 @@ def choose(pos: list[int], upto: list[int], good: list[int], limit: int, overlap
             best = max(good[floor : top + 1])
             while good[j] != best:
                 j -= 1
-        out.append((pos[i], pos[j], upto[j] - upto[i], good[j]))
+        out.append((pos[i], pos[j], upto[j] - upto[i], good[j], not good[j] or (i > 0 and not good[i])))
         k = j
         if overlap:
             while k - 1 > i and upto[j] - upto[k - 1] <= overlap:
                 k -= 1
+            while k < j and upto[j + 1] - upto[k] > limit:  # the next piece must get past this end
+                k += 1
         i = k
 
 
-def _pieces_of_text(text: str, cps, cls, starts, tokens, tok, limits, exact=None) -> Iterator[list]:
-    total = int(tokens.sum())
-    table = None
+def pieces_of(text: str, pos: list[int], upto: list[int], good: list[int], limits, count_many) -> Iterator[list]:
+    """Rows limit_id, piece_no, start, end, tokens, cut, piece of one text."""
     for limit_id, most, overlap in limits:
-        if total <= most:
+        if upto[-1] - upto[0] <= most:
             continue
-        if table is None:
-            table = boundary_table(cps, cls, starts, tokens)
-        p, u, g = (x.tolist() for x in refine(*table, cps, tok, _step(most, overlap)))
         shrink = 0
         while True:
-            rows = [[limit_id, no, a, b, n, KINDS[kind], text[a:b]] for no, (a, b, n, kind) in enumerate(choose(p, u, g, most - shrink, min(overlap, most // 2)))]
-            if exact is None:
+            rows, cut = [], []
+            for no, (a, b, n, kind, torn) in enumerate(choose(pos, upto, good, most - shrink, min(overlap, most // 2))):
+                rows.append([limit_id, no, a, b, n, KINDS[kind], text[a:b]])
+                if torn:
+                    cut.append(no)
+            if not cut:
                 break
-            # counted as a text of its own a piece can differ from the sum over its parts; then all pieces get less room
-            n = exact([r[6] for r in rows]).tolist()
-            for r, x in zip(rows, n):
-                r[4] = x
-            over = max(n) - most
+            # where a pre-token is cut its parts are encoded anew; if that makes a piece too large, all get less room
+            for no, n in zip(cut, count_many([rows[no][6] for no in cut]).tolist()):
+                rows[no][4] = n
+            over = max(r[4] for r in rows) - most
             if over <= 0 or shrink >= most // 2:
                 break
             shrink += over
@@ -214,42 +237,50 @@ def split_documents(df: DataFrame, limits: list[tuple[int, int, int]], *, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(name, folder)
-        arrow = None
+        inner = Inner(tok)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in chunks(texts):
                 part = ["" if t is None else t for t in texts.slice(a, b - a).to_pylist()]
-                cps, cls, starts, rows, bounds = tok.words_of(part)
-                tokens = tok.count[rows].astype(np.int64)
-                at = np.searchsorted(starts, bounds)
                 src, out = [], []
-                for i, t in enumerate(part):
-                    s, e = at[i], at[i + 1]
-                    if e > s:
-                        x, y = bounds[i], bounds[i + 1]
-                        for row in _pieces_of_text(t, cps[x:y], cls[x:y], starts[s:e] - x, tokens[s:e], tok, limits):
-                            src.append(a + i)
-                            out.append(row)
+                for i, row in _pieces_of_chunk(part, tok, inner, limits):
+                    src.append(a + i)
+                    out.append(row)
                 if out:
-                    for r, n in zip(out, tok.count_many([r[6] for r in out]).tolist()):
-                        r[4] = n
-                    most = {i: m for i, m, _ in limits}
-                    late = {x for x, r in zip(src, out) if r[4] > most[r[0]]}
-                    if late:
-                        kept = [(x, r) for x, r in zip(src, out) if x not in late]
-                        for x in sorted(late):
-                            i = x - a
-                            c, k, st, rw, _ = tok.words_of([part[i]])
-                            kept += [(x, r) for r in _pieces_of_text(part[i], c, k, st, tok.count[rw].astype(np.int64), tok, limits, tok.count_many)]
-                        src, out = [x for x, _ in kept], [r for _, r in kept]
-                    cols = list(zip(*out))
-                    arrow = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(src)), *(pa.array(c, t) for c, t in zip(cols, arrow))], names=schema.names)
+                    yield _batch(keys.take(pa.array(src)), out, schema.names)
 
     short = narrow.filter(F.length("text") <= range_chars).mapInArrow(run, schema)
     return short.unionByName(_split_giants(narrow.filter(F.length("text") > range_chars), limits, schema, key, name, folder, range_chars, halo))
 
 
+def _pieces_of_chunk(part: list[str], tok, inner: Inner, limits) -> Iterator[tuple[int, list]]:
+    cps, cls, starts, rows, bounds = tok.words_of(part)
+    if not len(starts):
+        return
+    tokens = tok.count[rows].astype(np.int64)
+    first = np.zeros(len(cps), bool)
+    first[bounds[:-1][bounds[:-1] < len(cps)]] = True
+    at = np.searchsorted(starts, bounds)
+    upto = np.concatenate([[0], np.cumsum(tokens)])[at]
+    least = min((m for _, m, _ in limits), default=None)
+    if least is None or not (np.diff(upto) > least).any():
+        return
+    pos, u, g = table_of(cps, cls, starts, rows, tokens, first, min(_step(m, o) for _, m, o in limits), inner)
+    lo, hi = np.searchsorted(pos, bounds[:-1], "right").tolist(), np.searchsorted(pos, bounds[1:], "left").tolist()
+    bounds, upto = bounds.tolist(), upto.tolist()
+    for i, t in enumerate(part):
+        if upto[i + 1] - upto[i] > least:
+            x, y = lo[i], hi[i]
+            p = [0, *(pos[x:y] - bounds[i]).tolist(), bounds[i + 1] - bounds[i]]
+            for row in pieces_of(t, p, [upto[i], *u[x:y].tolist(), upto[i + 1]], [PARAGRAPH, *g[x:y].tolist(), PARAGRAPH], limits, tok.count_many):
+                yield i, row
+
+
+def _batch(keys: pa.Array, out: list[list], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=names)
+
+
 def _sync(cls: np.ndarray, cps: np.ndarray, at: int) -> int:
     """The first offset from `at` where a pre-token surely begins, whatever stands around; -1 if there is none.
 
@@ -275,6 +306,7 @@ def _split_giants(df: DataFrame, limits, schema, key, name, folder, size: int, h
 
     def measure(batches):
         tok = tokenizer(name, folder)
+        inner = Inner(tok)
         for batch in batches:
             for row, total, no, part in zip(*(c.to_pylist() for c in batch.columns)):
                 base = max(0, no * size - 1)  # offset of the part's first character: one of context before the range
@@ -293,13 +325,16 @@ def _split_giants(df: DataFrame, limits, schema, key, name, folder, size: int, h
                     continue
                 piece = cps[begin:end].tobytes().decode("utf-32-le")
                 c2, k2, starts, rows, _ = tok.words_of([piece])
-                p, u, g = boundary_table(c2, k2, starts, tok.count[rows].astype(np.int64))
-                p, u, g = refine(p, u, g, c2, tok, min(_step(m, o) for _, m, o in limits))
-                if begin and len(g) > 1:
-                    # the place where two ranges meet is judged by the text before it too
-                    both = cps[max(0, begin - 1) : begin + 1]
-                    g[0] = LINE if np.isin(both, _NEWLINE).any() else WORD
-                yield _row_batch(measured, row, no, base + begin, base + end, False, (p + base + begin).tolist(), u.tolist(), g.tolist())
+                tokens = tok.count[rows].astype(np.int64)
+                head = np.zeros(len(c2), bool)
+                head[0] = True
+                p, u, g = table_of(c2, k2, starts, rows, tokens, head, min(_step(m, o) for _, m, o in limits), inner)
+                p, u, g = [0, *p.tolist(), len(c2)], [0, *u.tolist(), int(tokens.sum())], [PARAGRAPH, *g.tolist(), PARAGRAPH]
+                if begin:  # the place where two ranges meet: white space that begins the range tells how good it is
+                    lead = len(piece) - len(piece.lstrip())
+                    breaks = int(np.isin(c2[:lead], _NEWLINE).sum())
+                    g[0] = PARAGRAPH if breaks > 1 else LINE if breaks else WORD
+                yield _row_batch(measured, row, no, base + begin, base + end, False, [base + begin + x for x in p], u, g)
 
     def _row_batch(s, *values):
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8())]
@@ -319,7 +354,7 @@ def _split_giants(df: DataFrame, limits, schema, key, name, folder, size: int, h
         for p, u, g in zip(pdf["_pos"], pdf["_tokens"], pdf["_good"]):
             cut = 1 if pos else 0
             if cut:
-                good[-1] = g[0]
+                good[-1] = int(g[0])
             pos.extend(int(x) for x in p[cut:])
             upto.extend(base + int(x) for x in u[cut:])
             good.extend(int(x) for x in g[cut:])
@@ -327,7 +362,7 @@ def _split_giants(df: DataFrame, limits, schema, key, name, folder, size: int, h
         cuts = []
         for limit_id, most, overlap in limits:
             if base > most:
-                cuts += [{"limit_id": limit_id, "piece_no": no, "start_char": a, "end_char": b, "n_tokens": n, "cut": KINDS[k]} for no, (a, b, n, k) in enumerate(choose(pos, upto, good, most, min(overlap, most // 2)))]
+                cuts += [{"limit_id": limit_id, "piece_no": no, "start_char": a, "end_char": b, "n_tokens": n, "cut": KINDS[k]} for no, (a, b, n, k, _) in enumerate(choose(pos, upto, good, most, min(overlap, most // 2)))]
         return pd.DataFrame({"_row": [row], "_cuts": [cuts]})
 
     cuts = tables.groupBy("_row").applyInPandas(stitch, chosen)
@@ -338,15 +373,16 @@ def _split_giants(df: DataFrame, limits, schema, key, name, folder, size: int, h
 
     def whole(batches):
         tok = tokenizer(name, folder)
+        inner = Inner(tok)
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cps, cls, starts, rows, _ = tok.words_of([t])
-                for r in _pieces_of_text(t, cps, cls, starts, tok.count[rows].astype(np.int64), tok, limits, tok.count_many):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], batch.schema.field(0).type), *(pa.array([v], f) for v, f in zip(r, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]))], names=schema.names)
+            for k, t in zip(batch.column(0), batch.column(1).to_pylist()):
+                out = [row for _, row in _pieces_of_chunk([t], tok, inner, limits)]
+                if out:
+                    yield _batch(pa.array([k.as_py()] * len(out), batch.schema.field(0).type), out, schema.names)
 
     order = [f.name for f in schema]
     done = count_tokens(done.drop("n_tokens"), text="piece", keep=[c for c in order if c not in ("n_tokens", "piece")] + ["piece"], name=name, folder=folder).select(*order)
     return done.unionByName(back.filter("_cuts IS NULL").select(key, "text").mapInArrow(whole, schema))
 
 
-__all__ = ["CHUNK", "boundary_table", "choose", "split_documents"]
+__all__ = ["CHUNK", "choose", "places", "split_documents"]
