@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 
-def _table(text: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(text.split()))
+def _table(text: str) -> str:
+    return " ".join(text.split())
 
 
 SPAN = "STRUCT<text: STRING, styles: ARRAY<STRING>, link: STRING, footnoteId: STRING, footnoteImage: STRING>"
@@ -16,7 +15,7 @@ ELEMENT = (
     f"spans: ARRAY<{SPAN}>, items: ARRAY<STRUCT<spans: ARRAY<{SPAN}>>>>"
 )
 
-TABLES: dict[str, T.StructType] = {
+TABLES: dict[str, str] = {
     "users": _table("id INT, username STRING, password STRING, email STRING, role STRING, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"),
     "sessions": _table("id INT, token STRING, user_id INT, created_at TIMESTAMP_NTZ, expires_at TIMESTAMP_NTZ"),
     "invite_tokens": _table("id INT, token STRING, created_by INT, used BOOLEAN, used_by INT, created_at TIMESTAMP_NTZ, used_at TIMESTAMP_NTZ"),
@@ -44,7 +43,7 @@ TABLES: dict[str, T.StructType] = {
     ),
     "txt_parse_rules": _table("id INT, name STRING, rule STRING, example STRING, enabled BOOLEAN, priority INT, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"),
 }
-RULE_FILE = T.ArrayType(T.StructType.fromDDL("name STRING, rule STRING, example STRING"))
+RULE_FILE = "ARRAY<STRUCT<name: STRING, rule: STRING, example: STRING>>"
 #: Largest values the tables took; a longer one is an error there, so it is reported here rather than cut.
 LIMITS = {"books": {"title": 255, "author": 255, "file_path": 500, "format": 10}, "tags": {"name": 100}, "bookmarks": {"position_value": 500}}
 
