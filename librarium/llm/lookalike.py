@@ -63,7 +63,7 @@ def _fold_width(c: str) -> str:
 def _joins_matter(text: str, i: int) -> bool:
     """A joiner or selector between characters whose look it changes: Arabic, Indic, other joining scripts, emoji."""
     near = [text[j] for j in (i - 1, i + 1) if 0 <= j < len(text)]
-    return any(0x600 <= ord(c) < 0x1100 or 0x1780 <= ord(c) < 0x18B0 or unicodedata.category(c) == "So" or 0xFE00 <= ord(c) < 0xFE10 for c in near)
+    return any(0x600 <= ord(c) < 0x1100 or 0x1780 <= ord(c) < 0x18B0 or 0xFE00 <= ord(c) < 0xFE10 or (unicodedata.category(c) == "So" and not 0x2E80 <= ord(c) < 0x2FE0) for c in near)
 
 
 def _canonical_segment(text: str, a: int, b: int) -> str:

@@ -111,4 +111,20 @@ def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_restored, p6_found, p6_consistent, p7_found, p7_pairs, p8_ids, p8_counts, p9_mixture, p9_shares, p10_pieces)}
-SQL: dict[str, str] = {}
+
+def _canonical(c: str) -> str:
+    return f"regexp_replace(lower(upper(replace({c}, 'ß', 'SS'))), '[\\s\\p{{Z}}\\p{{Cc}}\\p{{P}}$+<=>^`|~]+', '', 'g')"
+
+
+_RECORDS = f"""
+p AS (SELECT id, title, author, regexp_replace(file_path, '[^/]*$', '') AS folder, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '[\\s\\p{{Z}}\\p{{P}}]+$', '') AS name FROM books),
+q AS (SELECT id, folder, coalesce({_canonical('title')}, chr(3)) AS t, coalesce({_canonical('author')}, chr(3)) AS a, regexp_replace(name, '\\.[^.]*$', '') AS stem, regexp_extract(name, '\\.([^.]*)$', 1) AS ext FROM p),
+k AS (SELECT id, least(t, a) || chr(1) || greatest(t, a) AS who, array_to_string(list_transform(string_split(folder, '/'), lambda x: {_canonical('x')}), '/') AS folder, {_canonical('ext')} AS ext,
+  array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(stem, '[-‐‑‒–—―−－]'), lambda x: {_canonical('x')}), lambda x: x <> '')), chr(2)) AS parts FROM q),
+r AS (SELECT who, folder, ext, parts, min(id) AS keep_id, count(*) AS copies FROM k GROUP BY ALL)
+"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_RECORDS} SELECT DISTINCT r.keep_id, k.id AS copy_id FROM k JOIN r USING (who, folder, ext, parts) WHERE k.id <> r.keep_id",
+    "p3_records": f"WITH {_RECORDS} SELECT keep_id, copies FROM r",
+}

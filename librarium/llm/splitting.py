@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from librarium.llm.bpe import CHUNK, TOKENIZER_DIR, L, N, S, chunks, count_tokens, tokenizer
+from librarium.session import checkpoint
 
 #: How good a place to cut is: a paragraph or block, a line, a sentence, a clause, between words, inside a run of letters.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 5, 4, 3, 2, 1, 0
@@ -295,7 +296,8 @@ def _sync(cls: np.ndarray, cps: np.ndarray, at: int) -> int:
 
 def _split_giants(df: DataFrame, limits, schema, key, name, folder, size: int, halo: int) -> DataFrame:
     """Texts in ranges of `size` characters. A range whose halo has no sure boundary reads on in the text's next range."""
-    tagged = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_len", F.length("text"))
+    # numbered once and kept, so that a lost executor cannot number the rows anew
+    tagged = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_len", F.length("text")))
     ranges = tagged.select(
         "_row", "_len", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("_len") / size) - 1), lambda i: F.substring("text", i * size + F.when(i > 0, 0).otherwise(1), F.lit(size + halo + 1)))).alias("_no", "_part"),
     )
