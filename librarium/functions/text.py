@@ -59,12 +59,12 @@ def file_name(path: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """What stands before the last slash, empty without one."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"(?s)/[^/]*$", "")).otherwise(F.lit(""))
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"(?s)/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def extension(name: Column, default: str = "") -> Column:
     """What stands after the last dot in lower case, `default` without one."""
-    return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(default))
+    return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).when(name.isNotNull(), F.lit(default))
 
 
 def stem(name: Column) -> Column:

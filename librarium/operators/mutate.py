@@ -189,7 +189,7 @@ def cascade(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         if child in out and parent in out:
             there = out[parent].select(F.col(key).alias(column))
             rows = out[child]
-            out[child] = rows.join(there, column, "left_semi").unionByName(rows.filter(F.col(column).isNull()), allowMissingColumns=False)
+            out[child] = rows.join(there, column, "left_semi").select(rows.columns).unionByName(rows.filter(F.col(column).isNull()))
     return out
 
 

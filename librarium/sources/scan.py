@@ -80,7 +80,7 @@ def by_parser(df: DataFrame, ext: str = "ext") -> DataFrame:
 
 def rule_file(spark: SparkSession, path: str) -> DataFrame:
     """(name, rule, example, priority, enabled) of a JSON list of rules; the place in the file is the priority."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     return _rules(raw.select(F.from_json("value", RULE_FILE).alias("rules")))
 
 
