@@ -81,7 +81,7 @@ def fan_out(df: DataFrame, *, least: int | None = None) -> DataFrame:
 
 def approx_bytes(df: DataFrame) -> int:
     """The optimizer's size of a frame in bytes; used only to decide whether a side may be broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def maybe_broadcast(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
