@@ -25,8 +25,8 @@ HOT = 50_000
 
 
 def canonical(c: Column) -> Column:
-    """Without letter case, white space and punctuation; null stays null. Upper case first, so that ß and SS agree."""
-    return F.regexp_replace(F.lower(F.upper(c)), _NOISE, "")
+    """Without letter case, white space and punctuation; null stays null. Sharp s is two letters in capitals, so it is here."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.upper(c)), "[ßẞ]", "ss"), _NOISE, "")
 
 
 def canonical_path(path: Column) -> Column:

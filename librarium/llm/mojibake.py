@@ -204,7 +204,7 @@ def _printable(text: str) -> bool:
 
 def _keeps_ascii(text: str, t: str) -> bool:
     """ASCII reads the same in all these encodings; only as second bytes of ideographs may it appear or vanish."""
-    if any(0x2E80 <= ord(c) < 0xFB00 for c in t) or _ENTITY.search(text):
+    if any(0x2E80 <= ord(c) < 0xFB00 for c in text + t) or _ENTITY.search(text):
         return True
     return [c for c in text if c < "\x80"] == [c for c in t if c < "\x80"]
 

@@ -113,7 +113,7 @@ def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_restored, p6_found, p6_consistent, p7_found, p7_pairs, p8_ids, p8_counts, p9_mixture, p9_shares, p10_pieces)}
 
 def _canonical(c: str) -> str:
-    return f"regexp_replace(lower(upper(replace({c}, 'ß', 'SS'))), '[\\s\\p{{Z}}\\p{{Cc}}\\p{{P}}$+<=>^`|~]+', '', 'g')"
+    return f"regexp_replace(regexp_replace(lower(upper({c})), '[ßẞ]', 'ss', 'g'), '[\\s\\p{{Z}}\\p{{Cc}}\\p{{P}}$+<=>^`|~]+', '', 'g')"
 
 
 _RECORDS = f"""

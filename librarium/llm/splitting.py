@@ -129,6 +129,11 @@ def table_of(cps, cls, starts, rows, tokens, first, step: int, inner: Inner) ->
     Pre-tokens of more than `step` tokens get places inside. The ends of the texts themselves are not listed.
     """
     ok, good = places(cps, cls, starts, first)
+    # white space and what follows it may together be too much: then the pre-tokens of that stretch are places too
+    begins = ok | first[starts]
+    stretch = np.cumsum(begins) - 1
+    more = (np.bincount(stretch, weights=tokens)[stretch] > step) & ~begins
+    ok, good = ok | more, np.where(more, INSIDE, good)
     upto = np.concatenate([[0], np.cumsum(tokens)])
     sel = np.flatnonzero(ok)
     pos, u, g = starts[sel], upto[sel], good[sel]
