@@ -23,14 +23,18 @@ from pyspark.sql import types as T
 from librarium.session import checkpoint
 
 #: Encodings a text may have been read in by mistake, and those it may have been written in.
-READ_AS = ["cp1252", "latin_1", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "gb18030", "big5hkscs", "shift_jis", "euc_kr"]
+READ_AS = ["cp1252", "latin_1", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "gb18030", "cp950", "big5hkscs", "shift_jis", "euc_jp", "euc_kr"]
 WRITTEN_IN = ["utf_8", "cp1252", "cp1251", "gb18030", "big5hkscs", "shift_jis", "euc_kr"]
 #: Pairs of characters rarer than this share of all pairs are left out of the model, which bounds its size to 1/SHARE.
 SHARE = 2e-6
 #: A text is garbled if a reachable one costs less by this much (natural logarithm).
 MARGIN = 5.0
+#: How much a step may add to the cost; undoing a misreading lowers it, so clean values end after one state.
+SLACK = 1.0
+#: Searches, each with a model of what the one before left as clean.
+ROUNDS = 2
 #: What it costs that a Latin letter stands beside a symbol or a letter of another script, whatever the corpus says.
-MIXED = 3.0
+MIXED = 5.0
 #: States expanded for one value at most; each has a fixed number of steps, and chains of misreadings are short.
 STATES, DEPTH = 24, 3
 _EDGE = "\x02"
@@ -90,7 +94,9 @@ def character_pairs(values: DataFrame, column: str = "text", share: float = SHAR
 
 
 def mixed(pair: str) -> bool:
-    """A Latin letter beside a symbol or a letter of another script."""
+    """A Latin letter beside a symbol or a letter of another script; an opening mark before a small letter."""
+    if pair[0] in "¡¿" and pair[1].islower():
+        return True
     return {_side(pair[0]), _side(pair[1])} == {"latin", "other"}
 
 
@@ -128,9 +134,11 @@ class Model:
             n = self.first.get(p[0], 0)
             seen = self.pairs.get(p, 0) / n if n else 0.0
             w = n / (n + 20.0)
-            low = p.lower()
-            m = self.first.get(low[0], 0) if low != p else 0
-            like = 0.02 * self.pairs.get(low, 0) / m if m else 0.0  # capitals follow each other as small letters do
+            a, b = p
+            like = 0.0  # letters follow each other in the other case much as they do in this one
+            for q in {a.lower() + b.lower(), a.upper() + b.lower(), a.upper() + b.upper()} - {p}:
+                if len(q) == 2 and (k := self.pairs.get(q, 0)):
+                    like = max(like, 0.02 * k / self.first[q[0]])
             v = -math.log(0.9 * w * seen + (1 - 0.9 * w) * (self._single(p[1]) + like)) + (MIXED if mixed(p) else 0.0)
             if len(self.known) < 500_000:
                 self.known[p] = v
@@ -228,7 +236,7 @@ def restore(text: str, model: Model) -> tuple[bool, str, bool]:
             if nxt not in seen:
                 seen.add(nxt)
                 c = model.cost(nxt)
-                if c < cost + MARGIN:  # a step may first make it a little worse
+                if c < cost + SLACK:
                     heapq.heappush(heap, (c, depth + 1, nxt))
     gain = start - best_cost
     better = best != text and gain > MARGIN
@@ -251,10 +259,22 @@ def garbled(df: DataFrame, fields: list[str], key: str = "meta_id", keep_clean:
     return long.join(found, "value").select(key, "field", "value", "restored", "recovered")
 
 
-def search(values: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(value, restored, recovered) of the distinct garbled values; the model comes from the column text of `corpus`."""
+def search(values: DataFrame, corpus: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(value, restored, recovered) of the distinct garbled values; the model comes from the column text of `corpus`.
+
+    Damage that repeats looks familiar to a model that was counted with it. So the search runs twice: the second time
+    with a model counted without the values that the first one found.
+    """
+    odd = checkpoint(values.filter(F.col("value").rlike(r"[^\x00-\x7F]|&[#A-Za-z0-9]+;")).distinct())
+    found = _search(odd, corpus)
+    for _ in range(rounds - 1):
+        found = _search(odd, corpus.join(found.select(F.col("value").alias("text")), "text", "left_anti"))
+    return found
+
+
+def _search(odd: DataFrame, corpus: DataFrame) -> DataFrame:
     pairs = {r.pair: r.n for r in character_pairs(corpus).toLocalIterator()}  # at most 1/SHARE pairs
-    shared = values.sparkSession.sparkContext.broadcast(pairs)
+    shared = odd.sparkSession.sparkContext.broadcast(pairs)
     schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("recovered", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,5 +289,4 @@ def search(values: DataFrame, corpus: DataFrame) -> DataFrame:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cols, (pa.string(), pa.string(), pa.bool_()))], names=schema.names)
 
-    odd = values.filter(F.col("value").rlike(r"[^\x00-\x7F]|&[#A-Za-z0-9]+;")).distinct()
     return checkpoint(odd.mapInArrow(run, schema))
