@@ -18,6 +18,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LIBRARIUM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -79,6 +80,15 @@ def fan_out(df: DataFrame, *, least: int | None = None) -> DataFrame:
     return df.repartition(want)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for a Python stage that costs far more than its rows are large.
+
+    After a shuffle adaptive execution joins small partitions by their bytes; a heavy stage would then run in a few tasks.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def approx_bytes(df: DataFrame) -> int:
     """The optimizer's size of a frame in bytes; used only to decide whether a side may be broadcast."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
