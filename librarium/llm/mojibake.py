@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from librarium.session import checkpoint
+from librarium.session import checkpoint, spread
 
 #: Encodings a text may have been read in by mistake, and those it may have been written in.
 READ_AS = ["cp1252", "latin_1", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "gb18030", "cp950", "big5hkscs", "shift_jis", "euc_jp", "euc_kr"]
@@ -265,7 +265,7 @@ def search(values: DataFrame, corpus: DataFrame, rounds: int = ROUNDS) -> DataFr
     Damage that repeats looks familiar to a model that was counted with it. So the search runs twice: the second time
     with a model counted without the values that the first one found.
     """
-    odd = checkpoint(values.filter(F.col("value").rlike(r"[^\x00-\x7F]|&[#A-Za-z0-9]+;")).distinct())
+    odd = checkpoint(spread(values.filter(F.col("value").rlike(r"[^\x00-\x7F]|&[#A-Za-z0-9]+;")).distinct()))
     found = _search(odd, corpus)
     for _ in range(rounds - 1):
         found = _search(odd, corpus.join(found.select(F.col("value").alias("text")), "text", "left_anti"))
