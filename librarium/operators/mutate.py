@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # What a reader setting is before anyone sets it.
@@ -238,21 +237,15 @@ def store_images(images: DataFrame) -> DataFrame:
 
 
 def valid_rules(rules: DataFrame) -> DataFrame:
-    """Rules whose pattern compiles; the others would be refused. Compiled by the same engine that will run them."""
-    def check(batches):
-        import re
-
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for r in b.column(0).to_pylist():
-                try:
-                    re.compile(r or "")
-                    out.append(bool(r))
-                except re.error:
-                    out.append(False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["rule", "compiles"])
-
-    flags = rules.select("rule").distinct().mapInArrow(check, T.StructType([T.StructField("rule", T.StringType()), T.StructField("compiles", T.BooleanType())]))
-    return rules.join(flags.filter("compiles").select("rule"), "rule", "left_semi").select(rules.columns)
+    """Rules whose pattern compiles; the others would be refused. The engine that will run them compiles them.
+
+    Rules are a table kept by hand, as small as it is where they are made one pattern (`segment.header_pattern`).
+    """
+    pattern = rules.sparkSession._jvm.java.util.regex.Pattern
+    refused = []
+    for r in rules.select("rule").distinct().toLocalIterator():
+        try:
+            pattern.compile(r.rule)
+        except Exception:  # noqa: BLE001 - whatever the engine says, the rule is refused
+            refused.append(r.rule)
+    return rules.filter(F.col("rule").isNotNull() & ~F.col("rule").isin([r for r in refused if r is not None]))

@@ -150,3 +150,25 @@ def test_latest_metadata(spark):
     m = spark.createDataFrame([(1, 1, D(2024, 1, 1), None, "A", "x" * 1100), (1, 2, D(2024, 1, 2), None, None, None)], "book_id INT, meta_id INT, extracted_at TIMESTAMP_NTZ, title STRING, author STRING, description STRING").withColumns({"publisher": F.lit(None).cast("string"), "isbn": F.lit(None).cast("string")})
     r = scan.apply_metadata(b, m).first()
     assert (r.title, r.author, len(r.description)) == ("stem", "A", 1000)
+
+
+def test_mixed_files(spark):
+    from librarium.functions import content as C
+    from librarium.sources import parsers
+
+    rows = [(1, "/l/a.txt", bytearray("Chapter 1\n\nIt is long\n\nsome words".encode()), "txt"), (2, "/l/b.html", bytearray(PAGE.encode()), "html"), (3, "/l/c.epub", book(), "epub"), (4, "/l/d.pdf", bytearray(b"x"), "pdf"), (5, "/l/e.xyz", bytearray(b"x"), "xyz")]
+    df = spark.createDataFrame(rows, "book_id INT, path STRING, content BINARY, ext STRING")
+    docs = parsers.documents(df)
+    got = {(r.book_id, r["index"]): r for r in docs.collect()}
+    assert {b for b, _ in got} == {1, 2, 3} and got[1, 0].word_count == 7 and got[3, 0].image_count == 1 and got[2, 0].title == "One"
+    meta = {r.book_id: r for r in parsers.metadata(df).collect()}
+    assert (meta[1].title, meta[2].author, meta[3].tags, meta[5].title) == ("a", "A", ["s1", "s2"], "e")
+    assert {r.book_id: (r.parse_status, r.chapters_count) for r in parsers.statuses(df, docs).collect()} == {1: ("completed", 1), 2: ("completed", 2), 3: ("completed", 4), 4: ("failed", 0), 5: ("failed", 0)}
+    parsers.register("pdf", lambda d, k: parsers.text_documents(d, k))
+    assert parsers.documents(df).filter("book_id = 4").count() == 1
+    del parsers.PARSERS["pdf"]
+    back = docs.select("book_id", "index", "content", C.from_text(C.to_text(F.col("content"))).alias("again")).collect()
+    assert all(r.content == r.again for r in back)
+    given = '[{"type":"com.x.Paragraph","spans":[{"text":"a"}],"unknown":1}]'
+    e = spark.createDataFrame([(given,)], "t STRING").select(C.from_text(F.col("t")).alias("e")).first().e[0]
+    assert (e.type, e.spans[0].text, e.spans[0].styles) == ("Paragraph", "a", [])
