@@ -49,7 +49,12 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_librarium_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    folder = tempfile.mkdtemp(prefix="librarium-")
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if shared.startswith("/"):  # a folder that all machines see
+        folder = os.path.join(shared, f"librarium-{sc.applicationId}")
+        os.makedirs(folder, exist_ok=True)
+    else:
+        folder = tempfile.mkdtemp(prefix="librarium-")
     archive = os.path.join(folder, "librarium.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for at, _, files in os.walk(os.path.dirname(os.path.abspath(__file__))):
