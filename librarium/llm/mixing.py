@@ -11,6 +11,8 @@ from librarium.session import checkpoint
 
 #: Ranges of the random key per source: prefix sums run inside a range, so no task holds a whole source.
 RANGES = 1024
+#: Repeats of a row are numbered in arrays of so many.
+PART = 1 << 16
 
 
 def _sized(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, seed: int, tokenizer: str, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -21,8 +23,13 @@ def _sized(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str
     )
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
     sized = count_tokens(narrow, keep=["doc_id", "source"], name=tokenizer, folder=folder).filter("n_tokens > 0 AND source IS NOT NULL")
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"))
-    return sized.withColumn("key", h).withColumn("range", F.pmod(F.shiftright(h, 40), F.lit(RANGES)).cast("int")), wanted
+    sized = sized.join(F.broadcast(wanted.select("source")), "source", "left_semi")
+    # rows that repeat a doc_id and a size are alike: they are counted (combined in each task) and numbered, whatever the layout of the input
+    alike = sized.groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    parts = alike.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {PART})")).alias("part"))
+    rows = parts.select("doc_id", "source", "n_tokens", F.explode(F.expr(f"sequence(part * {PART}, least(n, (part + 1) * {PART}) - 1)")).alias("repeat"))
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("n_tokens"), F.col("repeat"))
+    return rows.withColumn("key", h).withColumn("range", F.pmod(F.shiftright(h, 40), F.lit(RANGES)).cast("int")), wanted
 
 
 def mixture(
@@ -41,20 +48,21 @@ def mixture(
     sum up to its middle does not pass the budget, so a source misses its budget by half a document at most.
 
     Defined results: null or empty texts have no tokens and are never taken; null sources and sources not listed are
-    left out; rows that repeat a doc_id count as documents of their own; ties of the key are broken by doc_id.
+    left out; rows that repeat a doc_id count as documents of their own, each with a key of its own; ties
+    of the key are broken by doc_id, n_tokens and the number of the repeat.
 
-    Cost: the text column is read once to count tokens and is dropped before the only shuffle, of three numbers per
-    document by (source, range). What is gathered per source is RANGES sums.
+    Cost: the text column is read once to count tokens and is dropped before two shuffles of a few numbers per
+    document, by (doc_id, source, n_tokens) and by (source, range). What is gathered per source is RANGES sums.
     """
     sized, wanted = _sized(docs, targets, key, text, source, seed, tokenizer, folder)
-    sized = checkpoint(sized.join(F.broadcast(wanted.select("source")), "source", "left_semi"))
+    sized = checkpoint(sized)
     ranges = sized.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))
     order = Window.partitionBy("source").orderBy("range")
     upto = ranges.withColumn("before", F.sum("tokens").over(order) - F.col("tokens")).withColumn("available", F.sum("tokens").over(Window.partitionBy("source")))
     # one row per listed source (and RANGES rows per source below): the size is bounded by the targets table
     budget = budgets(upto.select("source", "available").distinct(), wanted, total_tokens)
     plan = upto.drop("available").join(budget, "source").select("source", "range", "before", "budget", "available", "max_repeat")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id")
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "n_tokens", "repeat").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.floor(F.col("budget") / F.col("available"))
     middle = F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens") / 2
     rest = F.col("budget") - epochs * F.col("available")

@@ -32,6 +32,22 @@ def test_total_is_met(docs, targets):
     assert abs(per["big"] - 2000 * 5 / 9) <= 20 and abs(per["small"] - 2000 * 4 / 9) <= 20  # half a document at most
 
 
+def test_rows_that_repeat_an_id_are_parted(spark):
+    rows = [(7, "hot", "word " * 10)] * 400 + [(None, "void", "word " * (1 + i % 20)) for i in range(400)] + [(i, "plain", "word " * 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id LONG, source STRING, text STRING")
+    targets = spark.createDataFrame([("hot", 1.0, 1), ("void", 1.0, 1), ("plain", 1.0, 1)], "source STRING, target_share DOUBLE, max_repeat INT")
+    m = mixing.mixture(df, targets, total_tokens=3000)
+    per = {r.source: r.tokens for r in mixing.shares(m, targets).collect()}
+    most = {r.source: r.n for r in mixing.mixture(df, targets, total_tokens=10**9).groupBy("source").agg({"n_tokens": "max"}).toDF("source", "n").collect()}
+    assert all(abs(per.get(s, 0) - 1000) <= most[s] / 2 for s in most), per
+    part, mixing.PART = mixing.PART, 7
+    try:
+        again = mixing.mixture(df.repartition(7), targets, total_tokens=3000)
+        assert sorted(map(str, again.collect())) == sorted(map(str, m.collect()))  # whatever the layout
+    finally:
+        mixing.PART = part
+
+
 def test_too_large_a_total_takes_what_there_is(docs, targets):
     m = mixing.mixture(docs, targets, total_tokens=10**9)
     assert {(r.source, r.copies) for r in m.select("source", "copies").distinct().collect()} == {("big", 1), ("small", 3)}
