@@ -24,8 +24,8 @@ SOFT = "/+"
 DELIMITERS = HARD + SOFT
 #: Opening quotes and what closes them.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "「": "」", "『": "』"}
-#: A dictionary value is met alone in at least this share of all elements, and at least twice.
-SUPPORT = 1e-6
+#: A dictionary value is met alone in at least so many elements, however many there are.
+SUPPORT = 2
 #: The dictionary is sent to every task only below this many characters; beyond it, tasks get only the hits they need.
 DICTIONARY_CHARS = 16 << 20
 _DELIM = re.compile(f"[{re.escape(DELIMITERS)}]")
@@ -36,13 +36,13 @@ def fold(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[\s 　]+|[\s 　]+$", ""))
 
 
-def dictionary(elements: DataFrame, column: str = "text", support: float = SUPPORT) -> DataFrame:
+def dictionary(elements: DataFrame, column: str = "text", support: int = SUPPORT) -> DataFrame:
     """(value, n): whole values that hold a delimiter character without being parted by it, from all elements.
 
     Two kinds of evidence: a value in quotes that is an element of its own, and an unquoted element whose only
     delimiter characters are slashes or pluses without spaces around them, if not all its sides are whole values more
-    often. Counted over all rows, in lower case; values met once in the corpus, or in less than `support` of the
-    elements, are not known values. At most 1/support values can pass, so the size of the result is bounded whatever the data.
+    often. Counted over all rows, in lower case; values met in fewer than `support` elements are not known values. The
+    result may grow with the data; it is a frame, and `split_values` sends it to tasks only below DICTIONARY_CHARS.
     """
     text = fold(F.col(column))
     opened = "[" + "".join(re.escape(q) for q in QUOTES) + "]"
@@ -51,7 +51,6 @@ def dictionary(elements: DataFrame, column: str = "text", support: float = SUPPO
     quoted = F.regexp_extract(text, f"^{opened}({inner}){closed}$", 1)
     hard, soft = f"[{re.escape(HARD)}]", f"[{re.escape(SOFT)}]"
     plain = F.when(~text.rlike(hard) & text.rlike(f"\\S{soft}\\S") & ~text.rlike(f"\\s{soft}|{soft}\\s|^{soft}|{soft}$") & ~text.rlike(f"{opened}|{closed}"), text)
-    least = max(2.0, support * elements.count())  # one number
     some = f"[{re.escape(DELIMITERS)}]"
     in_quotes = elements.select(F.nullif(quoted, F.lit("")).alias("value")).filter(F.col("value").rlike(some)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     bare = elements.select(plain.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
@@ -60,7 +59,7 @@ def dictionary(elements: DataFrame, column: str = "text", support: float = SUPPO
     sides = bare.select("value", "n", F.explode(F.transform(F.split("value", soft), F.trim)).alias("part")).join(whole, "part", "left")
     bare = sides.groupBy("value").agg(F.max("n").alias("n"), F.min(F.coalesce("alone", F.lit(0))).alias("alone")).filter("alone < n").select("value", "n")
     counted = in_quotes.unionByName(bare).groupBy("value").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= least)
+    return counted.filter(F.col("n") >= support)
 
 
 class Segmenter:
@@ -176,8 +175,8 @@ def split_values(df: DataFrame, column: str = "text", known: DataFrame | None =
     surrounding white space and enclosing quotes; a delimiter inside quotes or inside a known value belongs to the
     value; rows that repeat give their values again.
 
-    known: (value, ...) from `dictionary`, by default taken from `column`. It is bounded by its support; if its size is
-    still above DICTIONARY_CHARS, the rows that may hold a known value are matched to it by a shuffle join instead.
+    known: (value, ...) from `dictionary`, by default taken from `column`. If its size is above DICTIONARY_CHARS,
+    the rows that may hold a known value are matched to it by a shuffle join instead.
     """
     keep = [c for c in df.columns if c != column] if keep is None else keep
     known = checkpoint(dictionary(df, column) if known is None else known)

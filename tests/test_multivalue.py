@@ -51,6 +51,12 @@ def test_large_dictionaries_join_instead(spark, monkeypatch):
     assert take() == small and (7, 2, "p, q") in small
 
 
+def test_rare_values_stay_known_in_large_tables(spark):
+    rare = spark.createDataFrame([("x/y",), ("x/y",), ('"p, q"',), ('"p, q"',), ("once/only",)], "text STRING")
+    many = spark.range(2_500_000).selectExpr("concat('w', id % 10) AS text").unionByName(rare)
+    assert {(r.value, r.n) for r in M.dictionary(many).collect()} == {("x/y", 2), ("p, q", 2)}
+
+
 def test_two_values_are_not_one(spark):
     df = spark.createDataFrame([("a/b",), ("a/b",), ("a",), ("a",), ("a",), ("b",), ("b",), ("b",)], "text STRING")
     assert M.dictionary(df).count() == 0
