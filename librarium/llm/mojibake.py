@@ -1,9 +1,11 @@
 """Garbled text from wrong character encoding (problem 4): best-first search back to the original text.
 
-A state is a text. Steps undo one misreading: encode with the encoding it was wrongly read in, decode with the one it
-was written in, or unescape entities. States are visited once, the cheapest first; the cost of a text is how unlikely
-its characters follow each other in the corpus. A value is garbled if a much cheaper text is reachable, or if it holds
-characters that only damage leaves behind.
+A state is a word. Steps undo one misreading: encode with the encoding it was wrongly read in, decode with the one it
+was written in, or unescape entities. States are visited once, the cheapest first, until none is left; the cost of a
+word is how unlikely its characters follow each other in the corpus, the spaces around it included. All these encodings
+leave a space alone and keep no state, so what can be reached from a text is what can be reached from its words, and
+the cheapest text is the one of the cheapest words. A value is garbled if a much cheaper text is reachable, or if it
+holds characters that only damage leaves behind.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +34,17 @@ WRITTEN_IN = ["utf_8", "cp1252", "cp1251", "gb18030", "big5hkscs", "shift_jis",
 SHARE = 2e-6
 #: A text is garbled if a reachable one costs less by this much (natural logarithm).
 MARGIN = 5.0
-#: How much a step may add to the cost; undoing a misreading lowers it, so clean values end after one state.
-SLACK = 1.0
+#: What each misreading after the first one costs. A step must lower the cost with that; undoing a misreading does, so
+#: clean words end after one state, and as a chain cannot be longer than the cost over FURTHER, every search ends by itself.
+FURTHER = 2.0
+#: A word whose best reading gains less than this stays as it is; many such gains in a long text tell nothing.
+LEAST = 1.0
 #: Searches, each with a model of what the one before left as clean.
 ROUNDS = 2
 #: What it costs that a Latin letter stands beside a symbol or a letter of another script, whatever the corpus says.
 MIXED = 5.0
-#: States expanded for one value at most; each has a fixed number of steps, and chains of misreadings are short.
-STATES, DEPTH = 24, 3
+#: Words a worker keeps the result of; beyond that it begins anew.
+CACHE = 400_000
 _EDGE = "\x02"
 _SUSPECT = re.compile("[�-\x80-\x9f\U000f0000-\U0010ffff]|[^\x00-\x7f]�")
 _ENTITY = re.compile(r"&(#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d{0,2});")
@@ -49,48 +57,46 @@ def damaged(text: str) -> bool:
 
 def misread_utf8(text: str) -> bool:
     """UTF-8 in another encoding's clothes: its bytes are so regular that a clean text hardly ever passes."""
-    if text.isascii():
-        return False
-    for word in text.split():
-        if not word.isascii():
-            for read in ("cp1252", "cp1251", "mac_roman", "cp437", "gb18030"):
-                b = _encode(word, read)
-                t = None if b is None else _decode(b, "utf_8")
-                if t is not None and t != word and len(t) < len(word):
-                    return True
+    return not text.isascii() and any(not w.isascii() and _misread_word(w) for w in text.split())
+
+
+@lru_cache(maxsize=CACHE)
+def _misread_word(word: str) -> bool:
+    for read in ("cp1252", "cp1251", "mac_roman", "cp437", "gb18030"):
+        b = _encode(word, read)
+        t = None if b is None else _decode(b, "utf_8")
+        if t is not None and t != word and len(t) < len(word):
+            return True
     return False
 
 
-def character_pairs(values: DataFrame, column: str = "text", share: float = SHARE) -> DataFrame:
+_PAIRS = T.StructType([T.StructField("pair", T.StringType()), T.StructField("n", T.LongType())])
+
+
+def character_pairs(values: DataFrame, column: str = "text") -> DataFrame:
     """(pair, n): how often two characters follow each other, with the ends of a text as a character.
 
-    Counted over all values, except those that show damage by themselves; pairs below `share` of all are dropped, so
-    at most 1/share remain.
-    The counting is a partial aggregation by task, then one shuffle of pairs.
+    Counted over all values, except those that show damage by themselves. Each task counts in sorted arrays and hands on
+    a pair once for some hundred thousand characters; then one shuffle of pairs.
     """
-    schema = T.StructType([T.StructField("pair", T.StringType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        count: Counter[str] = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t and not _SUSPECT.search(t) and not misread_utf8(t):
-                    t = f"{_EDGE}{t}{_EDGE}"
-                    count.update(map(str.__add__, t, t[1:]))
-            if len(count) > 1_000_000:
-                yield _counted(count)
-                count.clear()
-        yield _counted(count)
-
-    def _counted(count):
-        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=schema.names)
-
-    pairs = values.select(column).mapInArrow(run, schema).groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = checkpoint(pairs)
+            texts = [t for t in batch.column(0).to_pylist() if t and (t.isascii() or not (_SUSPECT.search(t) or misread_utf8(t)))]
+            cps = np.frombuffer("".join(f"{_EDGE}{t}{_EDGE}" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            both = cps[:-1] << np.uint64(21) | cps[1:]
+            edge = np.uint64(ord(_EDGE))
+            pair, n = np.unique(both[both != (edge << np.uint64(21) | edge)], return_counts=True)
+            text = [chr(p >> 21) + chr(p & 0x1FFFFF) for p in pair.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(n.astype(np.int64))], names=_PAIRS.names)
+
+    return values.select(column).mapInArrow(run, _PAIRS).groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def frequent(pairs: DataFrame, share: float = SHARE) -> dict[str, int]:
+    """The pairs that make up `share` of all at least: at most 1/share of them, so they may come to the driver."""
     total = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
-    return pairs.filter(F.col("n") >= max(1.0, total * share))
+    return {r.pair: r.n for r in pairs.filter(F.col("n") >= max(1.0, total * share)).toLocalIterator()}
 
 
 def mixed(pair: str) -> bool:
@@ -121,6 +127,7 @@ class Model:
         self.total = sum(pairs.values()) or 1
         self.second, self.pairs = second, pairs
         self.known: dict[str, float] = {}
+        self.words: dict[tuple[str, bool, bool], tuple[str, float]] = {}
 
     def _single(self, c: str) -> float:
         """Likelihood of a character: from the corpus, and a little from its kind. Symbols and rare scripts get least."""
@@ -144,10 +151,15 @@ class Model:
                 self.known[p] = v
         return v
 
-    def cost(self, text: str) -> float:
-        t = f"{_EDGE}{text}{_EDGE}"
-        pair = self.pair
-        return sum(map(pair, map(str.__add__, t, t[1:])))
+    def cost(self, text: str, bound: float = math.inf) -> float:
+        """Of a text with the characters that stand around it; once it passes the bound it is not added up further."""
+        total, known, pair, p = 0.0, self.known, self.pair, ""
+        for p in map(str.__add__, text, text[1:]):
+            v = known.get(p)
+            total += pair(p) if v is None else v
+            if total >= bound:
+                break
+        return total
 
 
 def _encode(text: str, encoding: str) -> bytes | None:
@@ -177,33 +189,22 @@ def _decode(data: bytes, encoding: str) -> str | None:
         return None
 
 
-def steps(text: str) -> Iterator[str]:
-    """Texts that one misreading away from `text`: of the whole, and of single words of it."""
-    if _ENTITY.search(text):
-        yield html.unescape(text)
-    words = text.split(" ")
-    odd = [i for i, w in enumerate(words) if not w.isascii()]
+def steps(word: str) -> Iterator[str]:
+    """Words that are one misreading away."""
+    if _ENTITY.search(word):
+        yield html.unescape(word)
+    if word.isascii():
+        return
+    seen = set()
     for read in READ_AS:
-        whole = _encode(text, read)
-        parts = {i: b for i in odd if (b := _encode(words[i], read)) is not None} if len(words) > 1 else {}
+        data = _encode(word, read)
+        if data is None or data in seen:
+            continue
+        seen.add(data)
         for written in WRITTEN_IN:
-            if written == read:
-                continue
-            if whole is not None:
-                t = _decode(whole, written)
-                if t is not None and t != text:
-                    yield t
-            if parts and (whole is None or len(odd) > 1 or written != "utf_8"):
-                new, changed = list(words), False
-                for i, b in parts.items():
-                    w = _decode(b, written)
-                    if w is not None and w != words[i]:
-                        one = list(words)
-                        one[i] = w
-                        yield " ".join(one)
-                        new[i], changed = w, True
-                if changed:
-                    yield " ".join(new)
+            t = _decode(data, written)
+            if t is not None and t != word:
+                yield t
 
 
 def _printable(text: str) -> bool:
@@ -217,30 +218,44 @@ def _keeps_ascii(text: str, t: str) -> bool:
     return [c for c in text if c < "\x80"] == [c for c in t if c < "\x80"]
 
 
+def restore_word(word: str, left: str, right: str, model: Model) -> tuple[str, float]:
+    """The cheapest reachable word that can be read, and what it gains, with the characters that stand around the word."""
+    start = model.cost(left + word + right)
+    best, best_cost = word, start
+    seen, heap = {word}, [(start, 0, word)]
+    while heap:
+        cost, depth, w = heapq.heappop(heap)
+        if cost < best_cost and _printable(w) and _keeps_ascii(word, w):
+            best, best_cost = w, cost
+        price = FURTHER * depth
+        for nxt in steps(w):
+            if nxt not in seen:
+                seen.add(nxt)
+                c = model.cost(left + nxt + right, cost - price) + price
+                if c < cost:
+                    heapq.heappush(heap, (c, depth + 1, nxt))
+    return best, start - best_cost
+
+
 def restore(text: str, model: Model) -> tuple[bool, str, bool]:
     """(garbled, best text, recovered). The best text is the value itself where nothing much cheaper is reachable."""
-    hurt = damaged(text)
-    start = model.cost(text)
     if text.isascii() and not _ENTITY.search(text):
         return False, text, False
-    best, best_cost = text, start
-    seen, heap, expanded = {text}, [(start, 0, text)], 0
-    while heap and expanded < STATES:
-        cost, depth, t = heapq.heappop(heap)
-        expanded += 1
-        if cost < best_cost and _printable(t) and _keeps_ascii(text, t):
-            best, best_cost = t, cost
-        if depth == DEPTH:
-            continue
-        for nxt in steps(t):
-            if nxt not in seen:
-                seen.add(nxt)
-                c = model.cost(nxt)
-                if c < cost + SLACK:
-                    heapq.heappush(heap, (c, depth + 1, nxt))
-    gain = start - best_cost
+    words, gain = text.split(" "), 0.0
+    last = len(words) - 1
+    for i, w in enumerate(words):
+        if not w.isascii() or _ENTITY.search(w):
+            at = (w, i == 0, i == last)
+            if (known := model.words.get(at)) is None:
+                if len(model.words) > CACHE:
+                    model.words.clear()
+                known = model.words[at] = restore_word(w, _EDGE if i == 0 else " ", _EDGE if i == last else " ", model)
+            if known[1] >= LEAST:
+                words[i] = known[0]
+                gain += known[1]
+    best = " ".join(words)
     better = best != text and gain > MARGIN
-    return hurt or better, best if better else text, better and not damaged(best)
+    return damaged(text) or better, best if better else text, better and not damaged(best)
 
 
 def garbled(df: DataFrame, fields: list[str], key: str = "meta_id", keep_clean: bool = False) -> DataFrame:
@@ -251,7 +266,8 @@ def garbled(df: DataFrame, fields: list[str], key: str = "meta_id", keep_clean:
 
     Defined results: null and empty values are never garbled; texts of any length are searched whole; rows that repeat
     give equal rows. The model is counted over all values of all fields; the search runs once for each distinct value
-    that holds anything but plain ASCII or an entity, so a value that a third of the rows share costs one search.
+    that holds anything but plain ASCII or an entity, so a value that a third of the rows share costs one search; in a
+    worker each distinct word is searched once. No bound is set on states or steps.
     """
     long = df.select(F.col(key), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("v")).select(key, "v.field", "v.value")
     long = checkpoint(long.filter("value IS NOT NULL AND value <> ''"))
@@ -259,26 +275,40 @@ def garbled(df: DataFrame, fields: list[str], key: str = "meta_id", keep_clean:
     return long.join(found, "value").select(key, "field", "value", "restored", "recovered")
 
 
+#: Values that may be garbled at all.
+ODD = r"[^\x00-\x7F]|&[#A-Za-z0-9]+;"
+
+
 def search(values: DataFrame, corpus: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(value, restored, recovered) of the distinct garbled values; the model comes from the column text of `corpus`.
 
     Damage that repeats looks familiar to a model that was counted with it. So the search runs twice: the second time
-    with a model counted without the values that the first one found.
+    with a model counted without the values that the first one found. Their pairs are subtracted, so the corpus is
+    counted once.
     """
-    odd = checkpoint(spread(values.filter(F.col("value").rlike(r"[^\x00-\x7F]|&[#A-Za-z0-9]+;")).distinct()))
-    found = _search(odd, corpus)
+    odd = checkpoint(spread(values.filter(F.col("value").rlike(ODD)).distinct()))
+    pairs = checkpoint(character_pairs(corpus))
+    found = _search(odd, frequent(pairs))
     for _ in range(rounds - 1):
-        found = _search(odd, corpus.join(found.select(F.col("value").alias("text")), "text", "left_anti"))
+        without = corpus.filter(F.col("text").rlike(ODD)).join(found.select(F.col("value").alias("text")), "text", "left_semi")
+        rest = pairs.unionByName(character_pairs(without).select("pair", (-F.col("n")).alias("n"))).groupBy("pair").agg(F.sum("n").alias("n"))
+        found = _search(odd, frequent(checkpoint(rest.filter("n > 0"))))
     return found
 
 
-def _search(odd: DataFrame, corpus: DataFrame) -> DataFrame:
-    pairs = {r.pair: r.n for r in character_pairs(corpus).toLocalIterator()}  # at most 1/SHARE pairs
-    shared = odd.sparkSession.sparkContext.broadcast(pairs)
+_MODEL: dict[str, Model] = {}
+
+
+def _search(odd: DataFrame, pairs: dict[str, int]) -> DataFrame:
+    token = uuid4().hex  # tasks of one worker share the model and the words it has seen
+    shared = odd.sparkSession.sparkContext.broadcast(pairs)  # at most 1/SHARE
     schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("recovered", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
+        if token not in _MODEL:
+            _MODEL.clear()
+            _MODEL[token] = Model(shared.value)
+        model = _MODEL[token]
         for batch in batches:
             out = []
             for v in batch.column(0).to_pylist():

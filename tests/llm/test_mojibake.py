@@ -57,3 +57,34 @@ def test_frame(spark):
     got = sorted((r.meta_id, r.field, r.recovered) for r in M.garbled(df, ["title", "author"]).collect())
     assert got == [(9000, "title", True), (9000, "title", True), (9002, "author", True), (9002, "title", False)]
     assert M.garbled(df.limit(0), ["title"]).count() == 0
+
+
+def test_words_are_restored_one_by_one(model):
+    once = lambda t, r: t.encode("utf_8").decode(r)
+    bad = f"{once('Renée', 'cp1252')} K�nig {once('Günther', 'mac_roman')} {once(once('Hélène', 'cp1252'), 'cp1252')} 白夜"
+    assert M.restore(bad, model) == (True, "Renée K�nig Günther Hélène 白夜", False)
+    deep = "Zoë"
+    for _ in range(5):  # no bound on the number of misreadings
+        deep = once(deep, "latin_1")
+    assert M.restore(deep, model)[1] == "Zoë"
+
+
+def test_best_of_a_word_is_the_best_of_all_reachable(model):
+    """Against a search that visits everything reachable in falling order of cost."""
+    for t in ["Renée", "Käthe", "白夜书局"]:
+        for read in ("cp1252", "mac_roman", "gb18030", "cp437"):
+            try:
+                bad = t.encode("utf_8").decode(read)
+            except UnicodeDecodeError:
+                continue
+            best, seen, todo = (model.cost(f"\x02{bad}\x02"), bad), {bad}, [(bad, 0, model.cost(f"\x02{bad}\x02"))]
+            while todo:
+                w, depth, have = todo.pop()
+                for nxt in M.steps(w):
+                    c = model.cost(f"\x02{nxt}\x02") + M.FURTHER * depth
+                    if c < have and (nxt, depth) not in seen:
+                        seen.add((nxt, depth))
+                        todo.append((nxt, depth + 1, c))
+                        if M._printable(nxt) and M._keeps_ascii(bad, nxt):
+                            best = min(best, (c, nxt))
+            assert M.restore_word(bad, "\x02", "\x02", model)[0] == best[1]
