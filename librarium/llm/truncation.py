@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,11 @@ from librarium.session import checkpoint
 LENGTHS, NAMED = (2, 3, 4, 6, 10, 16), (5, 8, 12)
 #: How many of LENGTHS are read before those with names replaced.
 SHORT = 3
-#: Bits of the filter that keeps contexts at which no text ends from being shuffled; its size is fixed.
-FILTER_BITS = 26
+#: Bits of the filter that keeps contexts at which no text ends from being shuffled: this many for each context at which
+#: one ends, within two powers of two. Beyond the larger (16 MB) it lets more pass; they are dropped once they are counted.
+FILTER_ROOM, FILTER_LEAST, FILTER_MOST = 16, 16, 27
+#: A context at which more than one in so many texts ends is hot; there are at most that many for each length of context.
+HOT = 5_000
 #: Occurrences for which the estimate of the next shorter context counts.
 TRUST = 8.0
 #: Likelihood that a text ends at any one character, before anything is known.
@@ -38,7 +42,11 @@ _TAIL = re.compile(r"(?:\s|\.\.\.|…|\[…\]|\[\.\.\.\]|�)+$")
 _BROKEN = "�\\s*$"
 _NAME = re.compile(r"[^\W\d_]+", re.UNICODE)
 _START, _SIGN = "\x02", "\x01"
-_QUOTES = np.frombuffer("„“”«»\"".encode("utf-32-le"), np.uint32)
+_QUOTE_MARKS = "„“”«»\""
+_QUOTES = np.frombuffer(_QUOTE_MARKS.encode("utf-32-le"), np.uint32)
+#: Characters in which the last contexts are looked for first.
+TAIL = 96
+_PART_WORD = re.compile(r"^\w+", re.UNICODE)
 CHUNK = 1 << 19
 
 
@@ -67,7 +75,8 @@ class Contexts:
     STEP = np.uint64(0x9E3779B97F4A7C15)
     INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], state: np.ndarray | None = None):
+        """state: what is open at the end of each text, where the texts are ends of longer ones."""
         joined = "".join(_START + t for t in texts)
         self.cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(t) + 1 for t in texts], np.int64)
@@ -81,6 +90,9 @@ class Contexts:
             v ^= v >> np.uint64(31)
             self.sums = np.concatenate([[np.uint64(0)], np.cumsum(v * power[:n], dtype=np.uint64)])
         # what is open at each position: an odd number of quotes since the start, a paragraph tag without its end
+        if state is not None:
+            self.state = np.repeat(state.astype(np.uint64), size)
+            return
         of = np.repeat(np.arange(len(texts)), size)
         quotes = np.cumsum(np.isin(self.cps, _QUOTES))
         base = np.concatenate([[0], quotes])[self.begin]
@@ -114,8 +126,15 @@ class Contexts:
 _KEYED = T.StructType([T.StructField("key", T.LongType()), T.StructField("ends", T.LongType()), T.StructField("goes_on", T.LongType())])
 
 
-def _both(texts: list[str], common: set[str]) -> list[tuple[int, tuple[int, ...], Contexts]]:
-    return [(0, LENGTHS, Contexts(texts)), (1, NAMED, Contexts([named(t, common) for t in texts]))]
+def _open_at_end(text: str) -> int:
+    """The state of Contexts after a text's last character."""
+    return (sum(map(text.count, _QUOTE_MARKS)) & 1) + 2 * (text.count("<p") > text.count("</p>"))
+
+
+def _tail(text: str, common: set[str]) -> str:
+    """The end of a text with rare names replaced: at least as long as the longest context, or the whole."""
+    t = named(_PART_WORD.sub("", text[-TAIL:]), common) if len(text) > TAIL else named(text, common)
+    return t if len(t) >= max(NAMED) or len(text) <= TAIL else named(text, common)
 
 
 def _sliced(texts: list[str]) -> Iterator[list[str]]:
@@ -130,20 +149,21 @@ def _sliced(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def ending_filter(contexts: DataFrame) -> bytes:
-    """A bitmap of 2**FILTER_BITS bits over the keys of contexts at which some text ends. It may pass other keys, never lose one of these."""
+def ending_filter(contexts: DataFrame, texts: int) -> bytes:
+    """A bitmap over the keys of contexts at which some text ends. It may pass other keys, never lose one of these."""
     words = T.StructType([T.StructField("word", T.IntegerType()), T.StructField("bits", T.LongType())])
+    size = min(max((FILTER_ROOM * texts * (len(LENGTHS) + len(NAMED))).bit_length(), FILTER_LEAST), FILTER_MOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1))
+            bit = np.unique(batch.column(0).to_numpy() & ((1 << size) - 1))
             word = bit >> 6
             at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(bit) else np.zeros(0, np.int64)
             ored = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), at) if len(bit) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word[at].astype(np.int32)), pa.array(ored.view(np.int64))], names=words.names)
 
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    got = contexts.mapInArrow(run, words).groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()  # at most 2**(FILTER_BITS - 6) rows
+    table = np.zeros(1 << (size - 6), np.int64)
+    got = contexts.mapInArrow(run, words).groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()  # at most 2**(FILTER_MOST - 6) rows
     table[got["word"].to_numpy()] = got["bits"].to_numpy()
     return table.tobytes()
 
@@ -151,30 +171,36 @@ def ending_filter(contexts: DataFrame) -> bytes:
 def count_contexts(texts: DataFrame, column: str, common: list[str], ending: bytes) -> DataFrame:
     """(key, ends, goes_on): for contexts at which some text ends, how many texts end there and how many go on there.
 
-    Each task counts the contexts of all positions of its texts in sorted arrays before anything is shuffled; `ending`
-    keeps out most contexts at which no text ends, the rest of them is dropped after the counts are added up.
+    Each task counts the contexts of all positions of its texts before anything is shuffled. `ending` keeps out most
+    contexts at which no text ends, the rest of them is dropped after the counts are added up. A context is looked at
+    only where the next shorter one is one at which a text ends, for else no text ends at the longer one either.
     """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(ending)  # of fixed size
+    shared = spark.sparkContext.broadcast(ending)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = set(common), np.frombuffer(shared.value, np.uint8)
-        mask = (1 << FILTER_BITS) - 1
+        mask = 8 * len(bits) - 1
         for batch in batches:
             for texts in _sliced([trimmed(t) for t in batch.column(0).to_pylist() if t]):
-                for kind, lengths, c in _both(texts, known):
+                for kind, lengths, c in ((0, LENGTHS, Contexts(texts)), (1, NAMED, Contexts([named(t, known) for t in texts]))):
                     inner = np.ones(len(c.cps) + 1, bool)
                     inner[c.end] = inner[c.begin] = False
                     inner = np.flatnonzero(inner)
                     for n in lengths:
-                        for at, ends in ((c.end, True), (inner, False)):
-                            key, ok = c.keys(at, n, kind)
-                            key = key[ok]
-                            low = key & mask
-                            key = key[(bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1]
-                            k, f = np.unique(key, return_counts=True)
-                            zero = np.zeros(len(k), np.int64)
-                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k, f, zero] if ends else [k, zero, f])], names=_KEYED.names)
+                        key, ok = c.keys(c.end, n, kind)
+                        yield _counted(key[ok], True)
+                        key, ok = c.keys(inner, n, kind)
+                        low = key & mask
+                        ok &= (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+                        inner = inner[ok]
+                        yield _counted(key[ok], False)
+
+    def _counted(key: np.ndarray, ends: bool) -> pa.RecordBatch:
+        codes, k = pd.factorize(key)
+        n = np.bincount(codes, minlength=len(k)).astype(np.int64)
+        zero = np.zeros(len(k), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k, n, zero] if ends else [k, zero, n])], names=_KEYED.names)
 
     counted = texts.select(column).mapInArrow(run, _KEYED)
     return counted.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")).filter("ends > 0")
@@ -188,22 +214,18 @@ def last_contexts(texts: DataFrame, key: str, column: str, common: list[str]) ->
         known = set(common)
         for batch in batches:
             keys, raw = batch.column(0), batch.column(1).to_pylist()
-            at = [i for i, t in enumerate(raw) if t]
-            done = 0
-            for texts in _sliced([trimmed(raw[i]) for i in at]):
-                rows = np.array(at[done : done + len(texts)])
-                done += len(texts)
-                speak = np.array([language(t) for t in texts])
-                rank = 0
-                (_, long, plain), (_, short, signs) = _both(texts, known)
-                order = [(plain, n, 0) for n in long[:SHORT]] + [(signs, n, 1) for n in short] + [(plain, n, 0) for n in long[SHORT:]]
-                for c, n, kind in order:
-                    k, ok = c.keys(c.end, n, kind)
-                    idx = np.flatnonzero(ok)
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(rows[idx])), pa.array(np.full(len(idx), rank), pa.int32()), pa.array(k[idx], pa.int64()), pa.array(speak[idx].tolist(), pa.string())], names=schema.names
-                    )
-                    rank += 1
+            rows = np.array([i for i, t in enumerate(raw) if t], np.int64)
+            whole = [trimmed(raw[i]) for i in rows.tolist()]
+            speak = np.array([language(t) for t in whole])
+            state = np.array([_open_at_end(t) for t in whole], np.uint64)
+            plain, signs = Contexts([t[-max(LENGTHS) :] for t in whole], state), Contexts([_tail(t, known) for t in whole], state)
+            order = [(plain, n, 0) for n in LENGTHS[:SHORT]] + [(signs, n, 1) for n in NAMED] + [(plain, n, 0) for n in LENGTHS[SHORT:]]
+            for rank, (c, n, kind) in enumerate(order):
+                k, ok = c.keys(c.end, n, kind)
+                idx = np.flatnonzero(ok)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(rows[idx])), pa.array(np.full(len(idx), rank), pa.int32()), pa.array(k[idx], pa.int64()), pa.array(speak[idx].tolist(), pa.string())], names=schema.names
+                )
 
     return texts.select(key, column).mapInArrow(run, schema)
 
@@ -217,41 +239,56 @@ _WORDS = {
     "pt": "o a os as e de um uma em que do da com por",
     "it": "il la i gli e di un una in che del della con per",
 }
-_LANGUAGE = {k: set(v.split()) for k, v in _WORDS.items()}
+_LANGUAGE: dict[str, list[str]] = {}
+for _k, _v in _WORDS.items():
+    for _w in _v.split():
+        _LANGUAGE.setdefault(_w, []).append(_k)
+_OTHER_SCRIPT = re.compile("[\u0400-\U0010ffff]")
 
 
 def language(text: str) -> str:
     """By script for ideographs and Cyrillic, else by frequent words; "other" if none is met."""
-    sample = [c for c in text if c.isalpha()]
-    if not sample:
-        return "other"
-    wide = sum(ord(c) >= 0x2E80 for c in sample)
-    if 2 * wide > len(sample):
-        return "zh"
-    if 2 * sum(0x400 <= ord(c) < 0x530 for c in sample) > len(sample):
-        return "ru"
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    best, n = max(((k, sum(w in v for w in words)) for k, v in _LANGUAGE.items()), key=lambda x: x[1])
-    return best if n else "other"
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
+        sample = [ord(c) for c in text if c.isalpha()]
+        if 2 * sum(o >= 0x2E80 for o in sample) > len(sample):
+            return "zh"
+        if 2 * sum(0x400 <= o < 0x530 for o in sample) > len(sample):
+            return "ru"
+    n = dict.fromkeys(_WORDS, 0)
+    for w in _NAME.findall(text.lower()):
+        for k in _LANGUAGE.get(w, ()):
+            n[k] += 1
+    best = max(n, key=n.__getitem__)
+    return best if n[best] else "other"
 
 
 def scored(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, language, odds): the log-odds of going on against ending after each value's last context.
+    """(key, language, odds, broken): the log-odds of going on against ending after each value's last context; whether it ends in half a character.
 
     The likelihood of an end starts at PRIOR and is updated with each context of the value, the short ones first: the
-    estimate before counts as TRUST occurrences. The value's own end is not counted as evidence for itself.
+    estimate before counts as TRUST occurrences. The value's own end is not counted as evidence for itself, and a text
+    that stands in several rows is no more evidence than one: texts are made distinct first and scored once.
+
+    The text column is shuffled once, to make it distinct; what follows moves a few numbers for each context of a text's
+    end, and the rows find their score by the digest of their text. Contexts at which very many texts end are few and
+    are looked up in a broadcast, so no task gets all rows that end alike.
     """
-    texts = checkpoint(df.select(key, column).filter(F.col(column).isNotNull() & (F.col(column) != "")))
-    common = [r.word for r in words_of(texts, column).toLocalIterator()]  # bounded by RARE
-    ranked = checkpoint(last_contexts(texts, key, column, common))
-    # a text that stands in several rows is no more evidence than one
-    counts = count_contexts(texts.select(column).distinct(), column, common, ending_filter(ranked.select("context")))
-    met = ranked.join(counts, ranked["context"] == counts["key"]).select(ranked[key].alias(key), "rank", "language", (F.col("ends") - 1).alias("ends"), "goes_on")
-    # a repeated row brings its contexts again: each rank once
-    per = met.groupBy(key, "language", "rank").agg(F.max("ends").alias("ends"), F.max("goes_on").alias("goes_on"))
-    per = per.groupBy(key, "language").agg(F.array_sort(F.collect_list(F.struct("rank", "ends", "goes_on"))).alias("seen"))  # as many as there are lengths
+    rows = df.select(key, F.col(column).alias("text")).filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    texts = checkpoint(rows.select("text").distinct().select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text"))
+    total = texts.count()  # one number
+    common = [r.word for r in words_of(texts, "text").toLocalIterator()]  # bounded by RARE
+    ranked = checkpoint(last_contexts(texts, "digest", "text", common))
+    counts = checkpoint(count_contexts(texts, "text", common, ending_filter(ranked.select("context"), total)))
+    least = max(HOT, total // HOT)
+    hot = counts.filter(F.col("ends") > least)  # at most HOT contexts of each length, as each text has one of it
+    looked = ranked.join(F.broadcast(hot), ranked["context"] == hot["key"], "left")
+    cold = looked.filter("key IS NULL").select("digest", "rank", "context", "language").join(counts.filter(F.col("ends") <= least), F.col("context") == F.col("key"))
+    met = looked.filter("key IS NOT NULL").unionByName(cold).select("digest", "rank", "language", (F.col("ends") - 1).alias("ends"), "goes_on")
+    per = met.groupBy("digest").agg(F.first("language").alias("language"), F.array_sort(F.collect_list(F.struct("rank", "ends", "goes_on"))).alias("seen"))  # as many as there are lengths
     p = F.aggregate("seen", F.lit(PRIOR), lambda p, c: (c["ends"] + TRUST * p) / (c["ends"] + c["goes_on"] + TRUST))
-    return per.select(key, "language", F.ln((1 - p) / p).alias("odds"))
+    odds = per.select("digest", "language", F.ln((1 - p) / p).alias("odds"))
+    mine = rows.select(key, F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.col("text").rlike(_BROKEN).alias("broken"))
+    return mine.join(odds, "digest", "left").filter("odds IS NOT NULL OR broken").select(key, "language", "odds", "broken")
 
 
 def truncated(df: DataFrame, key: str = "meta_id", column: str = "description", margin: float = MARGIN) -> DataFrame:
@@ -264,11 +301,9 @@ def truncated(df: DataFrame, key: str = "meta_id", column: str = "description",
     a cut may have left it; half a character at the end is a cut; rows that repeat count as often as they stand; whole texts are counted.
     """
     odds = checkpoint(scored(df, key, column))
-    level = odds.groupBy("language").agg(F.percentile_approx("odds", 0.5).alias("level"))  # a few languages
-    out = odds.join(F.broadcast(level), "language")
-    broken = df.filter(F.col(column).rlike(_BROKEN)).select(key).distinct().withColumn("_broken", F.lit(True))
-    out = out.join(broken, key, "left").select(key, "language", F.when(F.col("_broken"), F.lit(float("inf"))).otherwise(F.col("odds")).alias("odds"), "level")
-    return out.select(key, "language", "odds", (F.col("odds") > margin + F.greatest(F.col("level"), F.lit(0.0))).alias("cut"))
+    level = odds.filter("odds IS NOT NULL").groupBy("language").agg(F.percentile_approx("odds", 0.5).alias("level"))  # a few languages
+    out = odds.join(F.broadcast(level), "language", "left").withColumn("odds", F.when(F.col("broken"), F.lit(float("inf"))).otherwise(F.col("odds")))
+    return out.select(key, "language", "odds", (F.col("broken") | (F.col("odds") > margin + F.greatest(F.coalesce("level", F.lit(0.0)), F.lit(0.0)))).alias("cut"))
 
 
 def shares(df: DataFrame, cut: DataFrame, key: str = "meta_id", column: str = "description", source: str = "source") -> DataFrame:

@@ -58,7 +58,7 @@ def test_shares(texts):
 def test_counts_by_hand(spark):
     df = spark.createDataFrame([("aab",), ("cab",), ("abx",)], "t STRING")
     ranked = M.last_contexts(df.select(F.monotonically_increasing_id().alias("k"), "t"), "k", "t", [])
-    counts = {r.key: (r.ends, r.goes_on) for r in M.count_contexts(df, "t", [], M.ending_filter(ranked.select("context"))).collect()}
+    counts = {r.key: (r.ends, r.goes_on) for r in M.count_contexts(df, "t", [], M.ending_filter(ranked.select("context"), 3)).collect()}
     key = int(M.Contexts(["aab"]).keys(__import__("numpy").array([4]), 2, 0)[0][0])
     assert counts[key] == (2, 1)  # "ab" ends two texts and goes on in one
 
@@ -70,3 +70,26 @@ def test_edges(spark, texts):
     assert M.truncated(long).count() >= 2
     assert M.trimmed("a...") == "a" and M.trimmed("...") == "..."
     assert M.language("第二天夜里") == "zh" and M.language("der Hund und die Katze") == "de" and M.language("12") == "other"
+
+
+def test_tails_have_the_contexts_of_whole_texts():
+    import numpy as np
+
+    rng, known = random.Random(3), {"The", "Her"}
+    texts = ["".join(rng.choice(["The ", "Adelheidegunde ", "her ", "“q” ", "« ", "<p>x</p>", "<p>", "12", "x", "\n", "第", ". "]) for _ in range(rng.randint(1, 90))) for _ in range(300)] + ["a", "X" * 500]
+    texts = [M.trimmed(t) for t in texts]
+    state = np.array([M._open_at_end(t) for t in texts], np.uint64)
+    for kind, lengths, ends, whole in ((0, M.LENGTHS, [t[-16:] for t in texts], texts), (1, M.NAMED, [M._tail(t, known) for t in texts], [M.named(t, known) for t in texts])):
+        a, b = M.Contexts(ends, state), M.Contexts(whole)
+        for n in lengths:
+            (x, ok_x), (y, ok_y) = a.keys(a.end, n, kind), b.keys(b.end, n, kind)
+            assert (ok_x == ok_y).all() and (x[ok_x] == y[ok_y]).all(), (kind, n)
+
+
+def test_hot_ends_and_repeats_give_the_same(texts, monkeypatch):
+    df, _ = texts
+    both = df.unionByName(df)
+    once = sorted((r.meta_id, round(r.odds, 9), r.cut) for r in M.truncated(df).filter("odds IS NOT NULL").collect())
+    monkeypatch.setattr(M, "HOT", 20)
+    again = sorted({(r.meta_id, round(r.odds, 9), r.cut) for r in M.truncated(both).filter("odds IS NOT NULL").collect()})
+    assert [x[0] for x in once] == [x[0] for x in again] and [x[1] for x in once] == [x[1] for x in again]
