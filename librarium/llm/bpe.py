@@ -29,10 +29,6 @@ CHUNK = 1 << 19
 #: A worker's cache of encoded pre-tokens is emptied beyond these sizes.
 CACHE_WORDS, CACHE_IDS = 400_000, 6_000_000
 
-#: Bytes up to which a pre-token is merged by scanning its ranks; longer ones take the queue.
-SHORT = 96
-NONE = 1 << 30
-
 L, N, S, O = 1, 2, 3, 4
 _WHITE = {0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x20, *range(9, 14), *range(0x2000, 0x200B)}
 
@@ -93,8 +89,6 @@ def merge_word(word: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[i
     if whole is not None:
         return [whole]
     n = len(word)
-    if n <= SHORT:
-        return _merge_short(word, ranks)
     piece: list[bytes | None] = [word[i : i + 1] for i in range(n)]
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
     at = [-1] * n  # the rank of the pair that begins here; an entry in the queue with another rank is stale
@@ -135,22 +129,6 @@ def merge_word(word: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[i
     return out
 
 
-def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same for a short pre-token: its few ranks are scanned for the least, which beats any queue at this length."""
-    get = ranks.get
-    piece = [word[i : i + 1] for i in range(len(word))]
-    rank = [get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
-    while rank and (low := min(rank)) != NONE:
-        i = rank.index(low)
-        merged = piece[i] = piece[i] + piece.pop(i + 1)
-        del rank[i]
-        if i < len(rank):
-            rank[i] = get(merged + piece[i + 1], NONE)
-        if i:
-            rank[i - 1] = get(piece[i - 1] + merged, NONE)
-    return [ranks[x] for x in piece]
-
-
 # ---------------------------------------------------------------- pre-tokens of a chunk
 
 

@@ -1,9 +1,16 @@
-"""Cutting texts that have too many tokens at natural boundaries (problem 10)."""
+"""Cutting texts that have too many tokens at natural boundaries (problem 10).
+
+Every text is read in ranges: a range begins and ends where a pre-token surely begins, which is looked for in a halo past
+its end; places to cut are found range by range, the tables of a text's ranges are stitched by prefix sums of tokens and
+characters, pieces are chosen on the stitched table, and cut out by offset. The ranges of a text are measured in one
+task, or, for giant texts, in as many as there are ranges; the functions are the same.
+"""
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +30,10 @@ _CLOSE = np.frombuffer("\"'”’»)]）】」』“".encode("utf-32-le"), np.ui
 _NEWLINE = (0x0A, 0x0D, 0x2028, 0x2029, 0x85)
 #: A piece is filled to this part of the limit before the best boundary in the rest is taken.
 FILL = 0.5
-#: Texts longer than this many characters are measured in ranges by several tasks.
-RANGE = 1 << 20
-#: Characters past the end of a range that its task reads to end on a boundary of pre-tokens.
-HALO = 1 << 12
+#: Characters of a range, and those past its end that are read to end on a boundary of pre-tokens.
+RANGE, HALO = 1 << 14, 1 << 10
+#: Texts of more characters than this have their ranges measured by several tasks.
+SPREAD = 1 << 20
 
 
 def places(cps: np.ndarray, cls: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,16 +189,22 @@ def choose(pos: list[int], upto: list[int], good: list[int], limit: int, overlap
 
 
 def pieces_of(text: str, pos: list[int], upto: list[int], good: list[int], limits, count_many) -> Iterator[list]:
-    """Rows limit_id, piece_no, start, end, tokens, cut, piece of one text."""
+    """Rows limit_id, piece_no, start, end, tokens, cut, piece of one text; none has more tokens than its limit, but for single characters."""
     for limit_id, most, overlap in limits:
         if upto[-1] - upto[0] <= most:
             continue
-        shrink = 0
+        shrink, by_byte = 0, False
         while True:
+            if by_byte:  # no text has more tokens than bytes
+                sizes = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
+                kinds = dict(zip(pos, good))
+                table = list(range(len(text) + 1)), sizes, [kinds.get(i, INSIDE) for i in range(len(text) + 1)]
+            else:
+                table = pos, upto, good
             rows, cut = [], []
-            for no, (a, b, n, kind, torn) in enumerate(choose(pos, upto, good, most - shrink, min(overlap, most // 2))):
+            for no, (a, b, n, kind, torn) in enumerate(choose(*table, most - shrink, min(overlap, most // 2))):
                 rows.append([limit_id, no, a, b, n, KINDS[kind], text[a:b]])
-                if torn:
+                if torn or by_byte:
                     cut.append(no)
             if not cut:
                 break
@@ -199,9 +212,11 @@ def pieces_of(text: str, pos: list[int], upto: list[int], good: list[int], limit
             for no, n in zip(cut, count_many([rows[no][6] for no in cut]).tolist()):
                 rows[no][4] = n
             over = max(r[4] for r in rows) - most
-            if over <= 0 or shrink >= most // 2:
+            if over <= 0 or by_byte:
                 break
             shrink += over
+            if shrink >= most // 2:
+                shrink, by_byte = 0, True
         yield from rows
 
 
@@ -218,7 +233,7 @@ def _columns() -> list[T.StructField]:
     ]
 
 
-def split_documents(df: DataFrame, limits: list[tuple[int, int, int]], *, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, range_chars: int = RANGE, halo: int = HALO) -> DataFrame:
+def split_documents(df: DataFrame, limits: list[tuple[int, int, int]], *, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, range_chars: int = RANGE, halo: int = HALO, spread: int = SPREAD) -> DataFrame:
     """Pieces of every text that has more tokens than a limit allows; texts within a limit give no row for it.
 
     limits: (limit_id, max_tokens, overlap_tokens), a handful of settings. Columns: key, limit_id, piece_no from 0,
@@ -231,10 +246,9 @@ def split_documents(df: DataFrame, limits: list[tuple[int, int, int]], *, key: s
 
     Defined results: null and empty texts give no rows; a null key is kept; rows that repeat give their pieces again.
 
-    Texts up to range_chars are handled in one pass without a shuffle. Longer ones are cut into ranges: each task finds
-    the pre-tokens that begin in its range (reading `halo` characters more, so it ends on a pre-token boundary), the
-    tables of a text's ranges are joined in order with prefix sums of tokens and characters, pieces are chosen on the
-    joined table of places, and only the pieces' own text is cut out. The table holds offsets, not text.
+    Every text is measured in ranges (see above). Texts up to `spread` characters are cut, measured, stitched and split
+    in the task that reads them, without a shuffle. The ranges of longer ones are measured in tasks of their own; the
+    table that is stitched holds offsets, not text, and each range cuts out its own parts of the pieces.
     """
     limits = sorted((int(i), int(m), int(o)) for i, m, o in limits if i is not None and m is not None and m > 0)
     limits = [(i, m, max(0, o)) for i, m, o in limits]
@@ -249,20 +263,71 @@ def split_documents(df: DataFrame, limits: list[tuple[int, int, int]], *, key: s
             for a, b in chunks(texts):
                 part = ["" if t is None else t for t in texts.slice(a, b - a).to_pylist()]
                 src, out = [], []
-                for i, row in _pieces_of_chunk(part, tok, inner, limits):
+                for i, row in _pieces_of_chunk(part, tok, inner, limits, range_chars, halo):
                     src.append(a + i)
                     out.append(row)
                 if out:
                     yield _batch(keys.take(pa.array(src)), out, schema.names)
 
-    short = narrow.filter(F.length("text") <= range_chars).mapInArrow(run, schema)
-    return short.unionByName(_split_giants(narrow.filter(F.length("text") > range_chars), limits, schema, key, name, folder, range_chars, halo))
+    short = narrow.filter(F.length("text") <= spread).mapInArrow(run, schema)
+    giants = narrow.filter(F.length("text") > spread)
+    # numbered once and kept, so that a lost executor cannot number the rows anew
+    giants = checkpoint(giants.withColumn("_row", F.monotonically_increasing_id()))
+    return short if giants.isEmpty() else short.unionByName(_split_giants(giants, limits, schema, key, name, folder, range_chars, halo))
+
 
+def _sync(cls: np.ndarray) -> np.ndarray:
+    """Offsets at which a pre-token surely begins, whatever stands around: white space after a word, a mark or digit after letters or digits."""
+    c, b = cls[1:], cls[:-1]
+    return np.flatnonzero((c != b) & (b != S) & ((c == S) | ((b == L) & (c != L)) | ((b == N) & (c != N)))) + 1
 
-def _pieces_of_chunk(part: list[str], tok, inner: Inner, limits) -> Iterator[tuple[int, list]]:
-    cps, cls, starts, rows, bounds = tok.words_of(part)
+
+def bounds_of_ranges(cls: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: np.ndarray, stops: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges begin and end, given their parts (a character of context, the range, a halo) laid end to end.
+
+    heads: whether a part is the first of its text; stops: where the range without its halo ends; last: whether the part
+    reaches the end of its text. -1 stands for an end that the halo does not show.
+    """
+    sync = np.append(_sync(cls), len(cls))
+    begin = np.where(heads, starts, sync[np.searchsorted(sync, np.minimum(starts + 1, len(cls)))])
+    end = np.where(stops < ends, sync[np.searchsorted(sync, np.minimum(stops, len(cls)))], ends)
+    end = np.where(end < ends, end, np.where(last, ends, -1))
+    return np.where(begin < ends, begin, np.where(last, ends, -1)), end
+
+
+def ranges_of(texts: list[str], classes, size: int, halo: int) -> list[list[str]]:
+    """Each text cut into its ranges. One whose halo does not show where the next range begins goes on through that range."""
+    long = [i for i, t in enumerate(texts) if len(t) > size]
+    out = [[t] for t in texts]
+    if long:
+        parts = [(i, no, max(0, no - 1)) for i in long for no in range(0, len(texts[i]), size)]
+        cut = [texts[i][a : no + size + halo] for i, no, a in parts]
+        cps = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(c) for c in cut])
+        starts = ends - np.array([len(c) for c in cut])
+        no, a = np.array([x[1] for x in parts]), np.array([x[2] for x in parts])
+        total = np.array([len(texts[i]) for i, _, _ in parts])
+        _, end = bounds_of_ranges(classes.of(cps), starts, ends, no == 0, starts + (no - a) + size, no + size + halo >= total)
+        end = np.where(end < 0, -1, end - starts + a)
+        for i in long:
+            out[i] = []
+        at, of = 0, -1
+        for (i, _, _), e in zip(parts, end.tolist()):
+            if i != of:
+                at, of = 0, i
+            if e > at:  # a range ends where the next one begins; where that is open, it goes on
+                out[i].append(texts[i][at:e])
+                at = e
+    return out
+
+
+def _pieces_of_chunk(part: list[str], tok, inner: Inner, limits, size: int = RANGE, halo: int = HALO) -> Iterator[tuple[int, list]]:
+    ranges = ranges_of(part, tok.classes, size, halo)
+    cps, cls, starts, rows, bounds = tok.words_of([r for t in ranges for r in t])
     if not len(starts):
         return
+    # stitched: the ranges of a text lie end to end, so offsets and tokens before each place are prefix sums over them
+    bounds = bounds[np.concatenate([[0], np.cumsum([len(t) for t in ranges])])]
     tokens = tok.count[rows].astype(np.int64)
     first = np.zeros(len(cps), bool)
     first[bounds[:-1][bounds[:-1] < len(cps)]] = True
@@ -287,27 +352,21 @@ def _batch(keys: pa.Array, out: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=names)
 
 
-def _sync(cls: np.ndarray, cps: np.ndarray, at: int) -> int:
-    """The first offset from `at` where a pre-token surely begins, whatever stands around; -1 if there is none.
-
-    White space after a word, and a mark or digit after letters, begin one in every text.
-    """
-    c = cls[max(at, 1) :]
-    b = cls[max(at, 1) - 1 : -1]
-    hit = (c != b) & (b != S) & ((c == S) | ((b == L) & (c != L)) | ((b == N) & (c != N)))
-    i = np.flatnonzero(hit)
-    return int(i[0]) + max(at, 1) if len(i) else -1
+def _split_giants(giants: DataFrame, limits, schema, key, name, folder, size: int, halo: int) -> DataFrame:
+    """Texts whose ranges are measured by several tasks; giants has a column _row. A text with a range that is open at its
+    halo's end, or with a piece that came out too large where a pre-token was cut, is split as a whole by one task."""
+    parts = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_no", T.IntegerType()), T.StructField("_of", T.LongType()), T.StructField("_part", T.StringType())])
 
+    def cut(batches):
+        for batch in batches:
+            for row, t in zip(*(c.to_pylist() for c in batch.columns)):
+                for no in range(0, len(t), size):  # one range at a time leaves the task
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f) for v, f in ((row, pa.int64()), (no // size, pa.int32()), (len(t), pa.int64()), (t[max(0, no - 1) : no + size + halo], pa.string()))], names=parts.names)
 
-def _split_giants(df: DataFrame, limits, schema, key, name, folder, size: int, halo: int) -> DataFrame:
-    """Texts in ranges of `size` characters. A range whose halo has no sure boundary reads on in the text's next range."""
-    # numbered once and kept, so that a lost executor cannot number the rows anew
-    tagged = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_len", F.length("text")))
-    ranges = tagged.select(
-        "_row", "_len", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("_len") / size) - 1), lambda i: F.substring("text", i * size + F.when(i > 0, 0).otherwise(1), F.lit(size + halo + 1)))).alias("_no", "_part"),
-    )
+    # kept where it is, so each range is shuffled once and read again for the pieces
+    ranges = checkpoint(giants.select("_row", "text").mapInArrow(cut, parts).repartition("_row", "_no"))
     measured = T.StructType([
-        T.StructField("_row", T.LongType()), T.StructField("_no", T.IntegerType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()), T.StructField("_open", T.BooleanType()),
+        T.StructField("_row", T.LongType()), T.StructField("_no", T.IntegerType()), T.StructField("_from", T.LongType()), T.StructField("_open", T.BooleanType()),
         T.StructField("_pos", T.ArrayType(T.LongType())), T.StructField("_tokens", T.ArrayType(T.LongType())), T.StructField("_good", T.ArrayType(T.ByteType())),
     ])
 
@@ -315,81 +374,81 @@ def _split_giants(df: DataFrame, limits, schema, key, name, folder, size: int, h
         tok = tokenizer(name, folder)
         inner = Inner(tok)
         for batch in batches:
-            for row, total, no, part in zip(*(c.to_pylist() for c in batch.columns)):
-                base = max(0, no * size - 1)  # offset of the part's first character: one of context before the range
-                cps = np.frombuffer(part.encode("utf-32-le"), np.uint32)
-                cls = tok.classes.of(cps)
-                begin = 0 if no == 0 else _sync(cls, cps, 1)
-                stop = no * size + size - base
-                whole = base + len(cps) >= total
-                end = _sync(cls, cps, stop) if stop < len(cps) else (len(cps) if whole else -1)
-                if end < 0 and whole:
-                    end = len(cps)
+            for row, no, total, part in zip(*(c.to_pylist() for c in batch.columns)):
+                base = max(0, no * size - 1)
+                cps = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+                n = len(cps)
+                begin, end = bounds_of_ranges(tok.classes.of(cps), np.array([0]), np.array([n]), np.array([no == 0]), np.array([no * size + size - base]), np.array([base + n >= total]))
+                begin, end = int(begin[0]), int(end[0])
                 if begin < 0 or end < 0:
-                    yield _row_batch(measured, row, no, 0, 0, True, [], [], [])
-                    continue
-                if begin >= end:
-                    continue
-                piece = cps[begin:end].tobytes().decode("utf-32-le")
-                c2, k2, starts, rows, _ = tok.words_of([piece])
-                tokens = tok.count[rows].astype(np.int64)
-                head = np.zeros(len(c2), bool)
-                head[0] = True
-                p, u, g = table_of(c2, k2, starts, rows, tokens, head, min(_step(m, o) for _, m, o in limits), inner)
-                p, u, g = [0, *p.tolist(), len(c2)], [0, *u.tolist(), int(tokens.sum())], [PARAGRAPH, *g.tolist(), PARAGRAPH]
-                if begin:  # the place where two ranges meet: white space that begins the range tells how good it is
-                    lead = len(piece) - len(piece.lstrip())
-                    breaks = int(np.isin(c2[:lead], _NEWLINE).sum())
-                    g[0] = PARAGRAPH if breaks > 1 else LINE if breaks else WORD
-                yield _row_batch(measured, row, no, base + begin, base + end, False, [base + begin + x for x in p], u, g)
+                    yield _row_batch(measured, row, no, 0, True, [], [], [])
+                elif begin < end:
+                    piece = part[begin:end]
+                    c2, k2, starts, rows, _ = tok.words_of([piece])
+                    tokens = tok.count[rows].astype(np.int64)
+                    head = np.zeros(len(c2), bool)
+                    head[0] = True
+                    p, u, g = table_of(c2, k2, starts, rows, tokens, head, min(_step(m, o) for _, m, o in limits), inner)
+                    p, u, g = [0, *p.tolist(), len(c2)], [0, *u.tolist(), int(tokens.sum())], [PARAGRAPH, *g.tolist(), PARAGRAPH]
+                    if begin:  # the place where two ranges meet: white space that begins the range tells how good it is
+                        lead = len(piece) - len(piece.lstrip())
+                        breaks = int(np.isin(c2[:lead], _NEWLINE).sum())
+                        g[0] = PARAGRAPH if breaks > 1 else LINE if breaks else WORD
+                    yield _row_batch(measured, row, no, base + begin, False, [base + begin + x for x in p], u, g)
 
     def _row_batch(s, *values):
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8())]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=s.names)
 
-    tables = ranges.repartition("_row", "_no").mapInArrow(measure, measured)
-    chosen = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_cuts", T.ArrayType(T.StructType([f for f in _columns() if f.name != "piece"])))])
+    chosen = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_open", T.BooleanType()), *(f for f in _columns() if f.name not in ("piece", "n_tokens"))])
 
     def stitch(pdf):
         import pandas as pd
 
-        row = int(pdf["_row"].iloc[0])
         pdf = pdf.sort_values("_no")
-        if pdf["_open"].any() or not len(limits):
-            return pd.DataFrame({"_row": [row], "_cuts": [None]})  # read as a whole below
+        row, out = int(pdf["_row"].iloc[0]), []
+        if pdf["_open"].any():
+            return pd.DataFrame([[row, True, None, None, None, None, None]], columns=chosen.names)
         pos, upto, good, base = [], [], [], 0
         for p, u, g in zip(pdf["_pos"], pdf["_tokens"], pdf["_good"]):
-            cut = 1 if pos else 0
-            if cut:
+            skip = 1 if pos else 0
+            if skip:
                 good[-1] = int(g[0])
-            pos.extend(int(x) for x in p[cut:])
-            upto.extend(base + int(x) for x in u[cut:])
-            good.extend(int(x) for x in g[cut:])
+            pos.extend(p[skip:].tolist())
+            upto.extend((u[skip:] + base).tolist())
+            good.extend(g[skip:].tolist())
             base = upto[-1]
-        cuts = []
         for limit_id, most, overlap in limits:
             if base > most:
-                cuts += [{"limit_id": limit_id, "piece_no": no, "start_char": a, "end_char": b, "n_tokens": n, "cut": KINDS[k]} for no, (a, b, n, k, _) in enumerate(choose(pos, upto, good, most, min(overlap, most // 2)))]
-        return pd.DataFrame({"_row": [row], "_cuts": [cuts]})
-
-    cuts = tables.groupBy("_row").applyInPandas(stitch, chosen)
-    back = tagged.join(cuts, "_row")
-    done = back.filter("_cuts IS NOT NULL").select(key, "text", F.explode("_cuts").alias("c")).select(
-        key, "c.*", F.expr("substring(text, int(c.start_char + 1), int(c.end_char - c.start_char))").alias("piece")
-    )
+                out += [[row, False, limit_id, no, a, b, KINDS[k]] for no, (a, b, _, k, _) in enumerate(choose(pos, upto, good, most, min(overlap, most // 2)))]
+        return pd.DataFrame(out, columns=chosen.names)
+
+    cuts = checkpoint(ranges.mapInArrow(measure, measured).groupBy("_row").applyInPandas(stitch, chosen))
+    # each range cuts out its own part of every piece that reaches into it; the parts of a piece are put together in order
+    reach = cuts.filter("NOT _open").withColumn("_no", F.explode(F.sequence(F.expr(f"start_char div {size}"), F.expr(f"(end_char - 1) div {size}")))).withColumn("_no", F.col("_no").cast("int"))
+    base = F.greatest(F.lit(0), F.col("_no") * size - 1)
+    a, b = F.greatest("start_char", F.col("_no") * F.lit(size)), F.least("end_char", (F.col("_no") + 1) * F.lit(size))
+    of = reach.join(ranges.drop("_of"), ["_row", "_no"]).withColumn("_text", F.substring("_part", (a - base + 1).cast("int"), (b - a).cast("int")))
+    named = [f.name for f in chosen if f.name != "_open"]
+    whole_pieces = of.groupBy(*named).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_text"))), lambda x: x["_text"]), "").alias("piece"))
+    counted = checkpoint(count_tokens(whole_pieces, text="piece", keep=[*named, "piece"], name=name, folder=folder))
+    most = F.create_map(*(F.lit(x) for i, m, _ in limits for x in (i, m))) if limits else None
+    again = cuts.filter("_open").select("_row")
+    if limits:
+        again = again.unionByName(counted.filter((F.col("n_tokens") > most[F.col("limit_id")]) & (F.length("piece") > 1)).select("_row")).distinct()
+    keys = giants.select("_row", F.col(key))
+    done = counted.join(again, "_row", "left_anti").join(keys, "_row").select(*(f.name for f in schema))
 
     def whole(batches):
         tok = tokenizer(name, folder)
         inner = Inner(tok)
         for batch in batches:
             for k, t in zip(batch.column(0), batch.column(1).to_pylist()):
-                out = [row for _, row in _pieces_of_chunk([t], tok, inner, limits)]
+                out = [row for _, row in _pieces_of_chunk([t], tok, inner, limits, size, halo)]
                 if out:
                     yield _batch(pa.array([k.as_py()] * len(out), batch.schema.field(0).type), out, schema.names)
 
-    order = [f.name for f in schema]
-    done = count_tokens(done.drop("n_tokens"), text="piece", keep=[c for c in order if c not in ("n_tokens", "piece")] + ["piece"], name=name, folder=folder).select(*order)
-    return done.unionByName(back.filter("_cuts IS NULL").select(key, "text").mapInArrow(whole, schema))
+    return done.unionByName(giants.join(again, "_row", "left_semi").select(key, "text").mapInArrow(whole, schema))
 
 
 __all__ = ["CHUNK", "choose", "places", "split_documents"]

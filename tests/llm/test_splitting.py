@@ -52,13 +52,34 @@ def test_odd_texts(odd):
 
 
 def test_ranges_of_giant_texts(odd):
-    check(odd, LIMITS, range_chars=3000, halo=200)
+    check(odd, LIMITS, range_chars=3000, halo=200, spread=3000)
+    check(odd, [(1, 20, 5), (2, 7, 0), (3, 3, 1)], range_chars=500, halo=50, spread=500)
+    check(odd, [(1, 20, 5), (2, 7, 0)], range_chars=100, halo=10)
 
 
 def test_ranges_agree_with_the_whole(odd):
     clean = odd.filter("doc_id IN (1, 3)")
     take = lambda **how: sorted(tuple(r) for r in splitting.split_documents(clean, [(3, 1024, 0)], **how).collect())
-    assert [r[:5] for r in take()] == [r[:5] for r in take(range_chars=2000, halo=300)]
+    assert take() == take(range_chars=1 << 20) == take(range_chars=2000, halo=300) == take(range_chars=2000, halo=300, spread=2000)
+
+
+def test_ranges_tile_the_text():
+    tok = tokenizer()
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["word ", "x" * 30, "中文，", "12", "\n\n", "  ", "it's "]) for _ in range(n)) for n in (0, 1, 10, 300, 900)] + ["y" * 2000, " " * 700 + "z", "a b" * 400 + "x" * 600]
+    for size, halo in ((100, 40), (64, 3), (1000, 200)):
+        for t, r in zip(texts, splitting.ranges_of(texts, tok.classes, size, halo)):
+            assert "".join(r) == t
+            assert [i for x in r for i in tok.encode(x)] == tok.encode(t)
+        assert len(splitting.ranges_of(texts, tok.classes, size, halo)[4]) > len(texts[4]) / size / (2 if halo > 10 else 9)
+
+
+def test_no_piece_is_too_large():
+    """Where cut pre-tokens come out larger again and again, pieces are cut by bytes, which surely fit."""
+    text = "ab" * 50
+    pos, upto = list(range(0, 101, 2)), list(range(0, 51))
+    rows = list(splitting.pieces_of(text, pos, upto, [5, *[0] * 49, 5], [(1, 10, 0)], lambda ts: __import__("numpy").array([len(t) for t in ts])))
+    assert "".join(r[6] for r in rows) == text and max(r[4] for r in rows) <= 10
 
 
 def test_cuts_are_natural(spark):
