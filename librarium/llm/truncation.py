@@ -41,9 +41,12 @@ _TAIL = re.compile(r"(?:\s|\.\.\.|…|\[…\]|\[\.\.\.\]|�)+$")
 #: Half a character at the end: nothing but a cut leaves it.
 _BROKEN = "�\\s*$"
 _NAME = re.compile(r"[^\W\d_]+", re.UNICODE)
+#: Words that may begin with a capital.
+_CAPITAL = re.compile(r"\b[^\W\d_a-z][^\W\d_]*", re.UNICODE)
 _START, _SIGN = "\x02", "\x01"
 _QUOTE_MARKS = "„“”«»\""
-_QUOTES = np.frombuffer(_QUOTE_MARKS.encode("utf-32-le"), np.uint32)
+_IS_QUOTE = np.zeros(0x2100, np.uint8)
+_IS_QUOTE[[ord(c) for c in _QUOTE_MARKS]] = 1
 #: Characters in which the last contexts are looked for first.
 TAIL = 96
 _PART_WORD = re.compile(r"^\w+", re.UNICODE)
@@ -66,7 +69,7 @@ def words_of(texts: DataFrame, column: str, rare: float = RARE) -> DataFrame:
 def named(text: str, common: set[str]) -> str:
     """Rare capitalised words of alphabets and numbers become signs."""
     t = re.sub(r"\d+", "0", text)
-    return _NAME.sub(lambda m: m[0] if not m[0][0].isupper() or ord(m[0][0]) >= 0x2E80 or m[0] in common else _SIGN, t)
+    return _CAPITAL.sub(lambda m: m[0] if not m[0][0].isupper() or ord(m[0][0]) >= 0x2E80 or m[0] in common else _SIGN, t)
 
 
 class Contexts:
@@ -74,6 +77,7 @@ class Contexts:
 
     STEP = np.uint64(0x9E3779B97F4A7C15)
     INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    powers = inverses = np.ones(1, np.uint64)  # as long as the longest chunk so far
 
     def __init__(self, texts: list[str], state: np.ndarray | None = None):
         """state: what is open at the end of each text, where the texts are ends of longer ones."""
@@ -84,29 +88,52 @@ class Contexts:
         self.begin = self.end - size
         n = len(self.cps)
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.STEP)]), dtype=np.uint64)
-            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.INVERSE)]), dtype=np.uint64)
-            v = (self.cps.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+            if len(Contexts.powers) < n + 1:
+                Contexts.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.STEP)]), dtype=np.uint64)
+                Contexts.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.INVERSE)]), dtype=np.uint64)
+            self.inverse = Contexts.inverses[: n + 1]
+            v = self.cps.astype(np.uint64)
+            v += np.uint64(0x632BE59BD9B4E019)
+            v *= np.uint64(0xD6E8FEB86659FD93)
             v ^= v >> np.uint64(31)
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(v * power[:n], dtype=np.uint64)])
+            v *= Contexts.powers[:n]
+            self.sums = np.empty(n + 1, np.uint64)
+            self.sums[0] = 0
+            np.cumsum(v, out=self.sums[1:])
         # what is open at each position: an odd number of quotes since the start, a paragraph tag without its end
         if state is not None:
             self.state = np.repeat(state.astype(np.uint64), size)
             return
-        of = np.repeat(np.arange(len(texts)), size)
-        quotes = np.cumsum(np.isin(self.cps, _QUOTES))
+        quotes = np.cumsum(_IS_QUOTE[np.minimum(self.cps, len(_IS_QUOTE) - 1)], dtype=np.int64)
         base = np.concatenate([[0], quotes])[self.begin]
-        open_quote = (quotes - base[of]) & 1
-        tag = np.zeros(n, np.int64)
-        lt = np.flatnonzero(self.cps[:-2] == 0x3C) if n > 2 else np.zeros(0, np.int64)
-        tag[lt[self.cps[lt + 1] == 0x70]] = 1
-        shut = lt[self.cps[lt + 1] == 0x2F]
-        shut = shut[(shut + 3 < n)]
-        shut = shut[(self.cps[shut + 2] == 0x70) & (self.cps[shut + 3] == 0x3E)]
-        tag[shut + 3] -= 1
-        tags = np.cumsum(tag)
-        base = np.concatenate([[0], tags])[self.begin]
-        self.state = (open_quote + 2 * (tags - base[of] > 0)).astype(np.uint64)
+        self.state = ((quotes - np.repeat(base, size)) & 1).astype(np.uint64)
+        lt = np.flatnonzero(self.cps == 0x3C)
+        if len(lt):
+            tag = np.zeros(n + 3, np.int64)
+            cps = np.concatenate([self.cps, np.zeros(3, np.uint32)])
+            tag[lt[cps[lt + 1] == 0x70]] = 1
+            shut = lt[(cps[lt + 1] == 0x2F) & (cps[lt + 2] == 0x70) & (cps[lt + 3] == 0x3E)]
+            tag[shut + 3] -= 1
+            tags = np.cumsum(tag[:n])
+            base = np.concatenate([[0], tags])[self.begin]
+            self.state += (2 * (tags - np.repeat(base, size) > 0)).astype(np.uint64)
+
+    def inner(self, length: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """All offsets inside texts with a context of `length` characters before them, and the keys of these contexts."""
+        n = len(self.cps)
+        if n <= length:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            h = self.sums[length:n] - self.sums[: n - length]
+            h *= self.inverse[: n - length]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= (self.state[length - 1 : n - 1] + np.uint64(8 * (length + 64 * kind))) * np.uint64(0x94D049BB133111EB)
+        ok = np.ones(n + length + 1, bool)
+        for i in range(length):
+            ok[self.begin + i] = False  # too near the start of a text
+        at = np.flatnonzero(ok[length:n]) + length
+        return at, h[at - length].view(np.int64)
 
     def keys(self, at: np.ndarray, length: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the contexts of `length` characters that end before the offsets `at`; which of them lie in their text."""
@@ -184,13 +211,15 @@ def count_contexts(texts: DataFrame, column: str, common: list[str], ending: byt
         for batch in batches:
             for texts in _sliced([trimmed(t) for t in batch.column(0).to_pylist() if t]):
                 for kind, lengths, c in ((0, LENGTHS, Contexts(texts)), (1, NAMED, Contexts([named(t, known) for t in texts]))):
-                    inner = np.ones(len(c.cps) + 1, bool)
-                    inner[c.end] = inner[c.begin] = False
-                    inner = np.flatnonzero(inner)
+                    inner = None
                     for n in lengths:
                         key, ok = c.keys(c.end, n, kind)
                         yield _counted(key[ok], True)
-                        key, ok = c.keys(inner, n, kind)
+                        if inner is None:
+                            inner, key = c.inner(n, kind)
+                            ok = np.ones(len(key), bool)
+                        else:
+                            key, ok = c.keys(inner, n, kind)
                         low = key & mask
                         ok &= (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
                         inner = inner[ok]
