@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,10 @@ from librarium.session import checkpoint
 #: What formatting may change: white space, punctuation, and the ASCII marks that Unicode counts as symbols.
 _NOISE = r"[\s\p{Z}\p{Cc}\p{P}$+<=>^`|~]+"
 _DASH = "[-‐‑‒–—―−－]"
-#: Rows of a bucket at least, before it is split by further bytes; the number of split buckets stays below NODES.
-LEAST, NODES = 20_000, 2_048
+#: Rows that fit a bucket, whatever the size of the table; one that holds more is split by further bytes.
+LEAST = 20_000
+#: Split buckets of a round up to which they are broadcast; more are joined by SALTS parts of each bucket.
+NODES, SALTS = 2_048, 32
 #: Bytes by which an oversized bucket is split at once, after what all its keys share.
 STEP = 2
 #: Keys that a task combines at most before it hands them on.
@@ -46,22 +49,6 @@ def record_key(title: Column, author: Column, path: Column) -> Column:
     return F.concat(F.least(a, b), F.lit("\x01"), F.greatest(a, b), F.lit("\x01"), F.coalesce(canonical_path(path), F.lit("\x03"))).cast("binary")
 
 
-class Splits:
-    """The prefixes of buckets that were split, each with the length of the prefixes it was split into."""
-
-    def __init__(self) -> None:
-        self.width: dict[bytes, int] = {}
-
-    def bucket(self, key: bytes) -> bytes:
-        """The bucket of a key: its shortest prefix that was not split. A key that ends where a split begins is a bucket of its own."""
-        p = b""
-        while (w := self.width.get(p)) is not None:
-            if len(key) <= len(p):
-                return b"\xff\xff\xff" + p
-            p = key[:w]
-        return p
-
-
 class CountingTrie:
     """Counts of byte strings. A node keeps the rests of its keys; beyond BURST of them it hands them to its children."""
 
@@ -142,29 +129,43 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _histogram(splits: Splits, active: set[bytes] | None):
-    schema = T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("rows", T.LongType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType())])
+_RANGE = T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("rows", T.LongType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType())])
 
-    def run(batches):
-        seen: dict[bytes, list] = {}
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                b = splits.bucket(k)
-                if active is not None and not any(b[:i] in active for i in range(len(b) + 1)):
-                    continue  # its bucket fits already
-                h = seen.get(b)
-                if h is None:
-                    seen[b] = [1, k, k]
-                else:
-                    h[0] += 1
-                    if k < h[1]:
-                        h[1] = k
-                    elif k > h[2]:
-                        h[2] = k
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each bucket that one task meets, with the least and the greatest key."""
+
+    def out():
         v = list(seen.values())
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in v], pa.int64()), pa.array([x[1] for x in v], pa.binary()), pa.array([x[2] for x in v], pa.binary())], names=schema.names)
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in v], pa.int64()), pa.array([x[1] for x in v], pa.binary()), pa.array([x[2] for x in v], pa.binary())], names=_RANGE.names)
 
-    return run, schema
+    seen: dict[bytes, list] = {}
+    for batch in batches:
+        for b, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            h = seen.get(b)
+            if h is None:
+                seen[b] = [1, k, k]
+            else:
+                h[0] += 1
+                if k < h[1]:
+                    h[1] = k
+                elif k > h[2]:
+                    h[2] = k
+        if len(seen) > COMBINE:
+            yield out()
+            seen = {}
+    yield out()
+
+
+_SPLIT = T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("width", T.IntegerType())])
+
+
+def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many bytes name the parts of a bucket: what all its keys share and STEP more."""
+    for batch in batches:
+        b, low, high = (c.to_pylist() for c in batch.columns)
+        w = [max(shared(x, y), len(p)) + STEP for p, x, y in zip(b, low, high)]
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.binary()), pa.array(w, pa.int32())], names=_SPLIT.names)
 
 
 def shared(low: bytes, high: bytes) -> int:
@@ -176,43 +177,44 @@ def shared(low: bytes, high: bytes) -> int:
     return lo
 
 
+def split_once(active: DataFrame, least: int) -> tuple[DataFrame, DataFrame] | None:
+    """(rows whose bucket fits, rows of the parts of buckets that were split); None if all buckets fit."""
+    found = active.select("bucket", "key").mapInArrow(_histogram, _RANGE).groupBy("bucket").agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
+    big = checkpoint(found.filter((F.col("rows") > least) & (F.col("low") < F.col("high"))).select("bucket", "low", "high").mapInArrow(_widths, _SPLIT))
+    n = big.count()  # one number
+    if not n:
+        return None
+    if n <= NODES:
+        met = active.join(F.broadcast(big), "bucket", "left")
+    else:  # a bucket may hold a third of all rows: its parts are joined apart
+        salted = big.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = active.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"], "left").drop("salt")
+    # a key that ends where its bucket is split is a bucket of its own
+    to = F.when(F.length("key") <= F.length("bucket"), F.concat(F.lit(b"\xff\xff\xff"), "bucket")).otherwise(F.substring("key", F.lit(1), F.col("width")))
+    met = checkpoint(met.withColumn("bucket", F.when(F.col("width").isNull(), F.col("bucket")).otherwise(to)))
+    return met.filter("width IS NULL").drop("width"), met.filter("width IS NOT NULL").drop("width")
+
+
 def radix_counts(rows: DataFrame, key: str = "key", ident: str = "id", least: int = LEAST) -> DataFrame:
     """(key BINARY, keep_id, copies) of every distinct key: its smallest id and the number of its rows.
 
-    Copies are combined inside each task first. Buckets of key bytes are then split while they hold more rows than
-    fit: a split skips what all keys of the bucket share and takes STEP further bytes. Each round reads the combined
-    rows once and returns only oversized buckets to the driver, at most NODES of them. A bucket whose keys are all
-    equal is done, however many rows it has. The buckets are then shuffled, and each task counts one bucket at a time
-    in a trie with a counter at each terminal node.
+    Copies are combined inside each task first. Buckets of key bytes are then split round by round until each holds at
+    most `least` rows, at every size of the table: a split skips what all keys of the bucket share and takes STEP
+    further bytes. A round counts and splits only the rows whose buckets do not fit yet; the buckets that do are put
+    aside. Which buckets are split is a table, not a list at the driver, which learns its size. A bucket whose keys are
+    all equal is done, however many rows it has. The buckets are then shuffled, and each task counts one bucket at a
+    time in a trie with a counter at each terminal node.
 
     Defined results: a null key is a key of its own; null ids count, but never stand for a record unless all are null;
     an empty table gives no rows.
     """
     narrow = rows.select(F.coalesce(F.col(key), F.lit(b"\x00\x00null")).alias("key"), F.col(ident).cast("long").alias("first"))
-    partial = checkpoint(narrow.mapInArrow(_combine, _PARTIAL))
-    total = partial.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    fits = max(least, total // NODES)
-    splits, active = Splits(), None
-    while total > fits:
-        run, schema = _histogram(splits, active)
-        found = (
-            partial.select("key").mapInArrow(run, schema).groupBy("bucket")
-            .agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
-            .filter((F.col("rows") > fits) & (F.col("low") < F.col("high")))
-        )
-        big = [(bytes(r.bucket), bytes(r.low), bytes(r.high)) for r in found.toLocalIterator()]  # at most total / fits <= NODES
-        if not big:
-            break
-        active = set()
-        for b, low, high in big:
-            splits.width[b] = max(shared(low, high), len(b)) + STEP
-            active.add(b)
-    bucketed = T.StructType([T.StructField("bucket", T.BinaryType()), *_PARTIAL.fields])
-
-    def assign(batches):
-        for batch in batches:
-            b = pa.array([splits.bucket(k) for k in batch.column(0).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b, *batch.columns], names=bucketed.names)
+    active = checkpoint(narrow.mapInArrow(_combine, _PARTIAL)).select(F.lit(b"").alias("bucket"), "key", "first", "n")
+    fit = []
+    while (parts := split_once(active, least)) is not None:
+        fit.append(parts[0])
+        active = parts[1]
+    buckets = reduce(DataFrame.unionByName, fit, active)
 
     def count(batches):
         trie, now = CountingTrie(), None
@@ -226,7 +228,7 @@ def radix_counts(rows: DataFrame, key: str = "key", ident: str = "id", least: in
         if now is not None:
             yield from _emit(trie)
 
-    out = partial.mapInArrow(assign, bucketed).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _PARTIAL)
+    out = buckets.select("bucket", "key", "first", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _PARTIAL)
     return out.select(F.when(F.col("key") != F.lit(b"\x00\x00null"), F.col("key")).alias("key"), F.col("first").alias("keep_id"), F.col("n").alias("copies"))
 
 
@@ -252,7 +254,7 @@ def records(books: DataFrame, *, key: str = "id", title: str = "title", author:
 def copies(books: DataFrame, *, key: str = "id", title: str = "title", author: str = "author", path: str = "file_path", hot: int = HOT) -> DataFrame:
     """(keep_id, copy_id): each further row of a record that has several, with the smallest id of the record.
 
-    Rows of hot records, of which there are at most rows / hot, are matched by a broadcast; the others by a join on the
+    Rows of hot records, of which there are at most NODES, are matched by a broadcast; the others by a join on the
     canonical bytes of the records that have copies.
     """
     keyed = checkpoint(books.select(F.col(key).cast("long").alias("id"), record_key(F.col(title), F.col(author), F.col(path)).alias("key")))
@@ -263,4 +265,4 @@ def copies(books: DataFrame, *, key: str = "id", title: str = "title", author: s
     return out.filter("id <> keep_id").select("keep_id", F.col("id").alias("copy_id")).distinct()
 
 
-__all__ = ["CountingTrie", "Splits", "canonical", "canonical_path", "copies", "radix_counts", "record_key", "records"]
+__all__ = ["CountingTrie", "canonical", "canonical_path", "copies", "radix_counts", "record_key", "records"]

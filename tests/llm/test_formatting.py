@@ -21,13 +21,28 @@ def test_trie(rows):
     assert {k: [f, n] for k, f, n in trie.items()} == want
 
 
-def test_buckets():
-    s = M.Splits()
-    s.width = {b"": 2, b"ab": 4}
-    assert [s.bucket(k) for k in (b"", b"a", b"xy1", b"ab", b"abc", b"abcde")] == [b"\xff\xff\xff", b"a", b"xy", b"\xff\xff\xffab", b"abc", b"abcd"]
+def test_shared():
     assert M.shared(b"abcd", b"abzz") == 2 and M.shared(b"", b"a") == 0
 
 
+@pytest.mark.parametrize("nodes", [0, 10**6])
+def test_splits_until_all_fit(spark, monkeypatch, nodes):
+    monkeypatch.setattr(M, "NODES", nodes)  # split buckets joined by salted parts, or broadcast
+    keys = [b"same", b"samea", b"sameab"] + [b"same" + bytes([65 + i % 7, 65 + i % 5, 65 + i % 11]) for i in range(400)] + [b"hot"] * 90
+    active = spark.createDataFrame([(b"", k, i, 1) for i, k in enumerate(keys)], "bucket BINARY, key BINARY, first LONG, n LONG")
+    rounds, fit = 0, []
+    while (parts := M.split_once(active, 20)) is not None:
+        fit += parts[0].collect()
+        active, rounds = parts[1], rounds + 1
+    rows = fit + active.collect()
+    assert rounds >= 2 and sorted(bytes(r.key) for r in rows) == sorted(keys)
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[bytes(r.bucket)].append(bytes(r.key))
+    assert all(len(v) <= 20 or len(set(v)) == 1 for v in held.values())
+    assert len({(bytes(r.key), bytes(r.bucket)) for r in rows}) == len(set(keys))
+
+
 @pytest.mark.parametrize("least", [3, 50, 10**6])
 def test_counts(spark, least):
     rng = random.Random(1)
