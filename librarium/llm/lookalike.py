@@ -12,16 +12,33 @@ from pyspark.sql import types as T
 
 from librarium.session import checkpoint
 
-# Letters of other scripts that look like a Latin letter, each beside the letter it looks like.
-CYRILLIC = "аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅԌԚԜ"
-CYRILLIC_LIKE = "aeopcyxijshdqwABEKMHOPCTYXIJSGQW"
-GREEK = "οανρυιΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
-GREEK_LIKE = "oavpuiABEZHIKMNOPTYX"
-OTHER = "ɑɡıՕօ"
-OTHER_LIKE = "agıOo"
-_TO_LATIN = {ord(a): b for a, b in zip(CYRILLIC + GREEK + OTHER, CYRILLIC_LIKE + GREEK_LIKE + OTHER_LIKE)}
-_TO_CYRILLIC = {ord(b): a for a, b in zip(CYRILLIC, CYRILLIC_LIKE)}
-_TO_GREEK = {ord(b): a for a, b in zip(GREEK, GREEK_LIKE)}
+# Letters of other scripts that look like a Latin letter, each beside the letter it looks like, after the
+# public table of confusable characters of the Unicode security mechanisms (UTS 39): its single letters of these scripts.
+CYRILLIC = "аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅԌԚԜѵӏ"
+CYRILLIC_LIKE = "aeopcyxijshdqwABEKMHOPCTYXIJSGQWvl"
+GREEK = "οανρυιΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϹϳͿ"
+GREEK_LIKE = "oavpuiABEZHIKMNOPTYXcCjJ"
+OTHER = "ɑɡıՕօոսհցզյՍ"
+OTHER_LIKE = "agıOonuhgqjU"
+COPTIC = "ⲟⲞⲣⲢⲥⲤⲔⲘⲚⲎⲒⲦⲬⲂⲈⲀ"
+COPTIC_LIKE = "oOpPcCKMNHITXBEA"
+CHEROKEE = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏔᏕᏙᏞᏟᏢᏦᏧᏴ"
+CHEROKEE_LIKE = "DRTiAJEWMHYGZbWSVLCPKdB"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓳꓴ"
+LISU_LIKE = "BPDTGKJCZFMNLSRVHWXYAEOU"
+SMALL_CAPITALS = "ᴄᴏꜱᴠᴡᴢ"
+SMALL_CAPITALS_LIKE = "cosvwz"
+_TO_LATIN = {
+    ord(a): b
+    for a, b in zip(CYRILLIC + GREEK + OTHER + COPTIC + CHEROKEE + LISU + SMALL_CAPITALS, CYRILLIC_LIKE + GREEK_LIKE + OTHER_LIKE + COPTIC_LIKE + CHEROKEE_LIKE + LISU_LIKE + SMALL_CAPITALS_LIKE)
+}
+ARMENIAN = {b: a for a, b in zip(OTHER, OTHER_LIKE) if 0x530 <= ord(a) < 0x590}
+#: Ranges of the scripts, and the way back from the Latin letters to theirs.
+_SCRIPTS = [
+    ((0x370, 0x400), (0x1F00, 0x2000), dict(zip(GREEK_LIKE, GREEK))), ((0x400, 0x530), (0x1C80, 0x1C90), dict(zip(CYRILLIC_LIKE, CYRILLIC))), ((0x530, 0x590), (0xFB13, 0xFB18), ARMENIAN),
+    ((0x13A0, 0x1400), (0xAB70, 0xABC0), dict(zip(CHEROKEE_LIKE, CHEROKEE))), ((0xA4D0, 0xA500), (0, 0), dict(zip(LISU_LIKE, LISU))), ((0x2C80, 0x2D00), (0, 0), dict(zip(COPTIC_LIKE, COPTIC))),
+]
+_BACK = [{ord(a): b for a, b in back.items()} for _, _, back in _SCRIPTS]
 #: Characters without a look of their own.
 INVISIBLE = {0xAD, 0x34F, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF}
 #: Joiners have a look in these scripts, and inside emoji.
@@ -51,9 +68,9 @@ def kind(c: str) -> int:
 
 
 def _fold_width(c: str) -> str:
-    """Width forms, ligatures and radicals of letters and digits; punctuation keeps its width."""
+    """Width, font, circled and squared forms of letters and digits, ligatures, radicals, numerals made of letters; punctuation keeps its width."""
     d = unicodedata.decomposition(c)
-    if d.startswith(("<wide>", "<narrow>")) or (d.startswith("<compat>") and (0x2E80 <= ord(c) < 0x2FE0 or 0xFB00 <= ord(c) < 0xFB07)):
+    if d.startswith(("<wide>", "<narrow>", "<font>", "<circle>", "<square>")) or (d.startswith("<compat>") and (0x2E80 <= ord(c) < 0x2FE0 or 0xFB00 <= ord(c) < 0xFB07 or 0x2160 <= ord(c) < 0x2180)):
         t = unicodedata.normalize("NFKC", c)
         if t.isalnum():
             return t
@@ -109,24 +126,25 @@ def skeleton(text: str) -> str:
 
 
 def consistent(text: str) -> str:
-    """The skeleton with each word in one script: words that hold a letter only Cyrillic or Greek has stay in that script."""
+    """The skeleton with each word in one script: words that hold a letter only Cyrillic, Greek or another script has stay in that script."""
     s = skeleton(text)
     if s.isascii():
         return s
     words, out = s.split(" "), []
     for w in words:
         if not w.isascii():
-            scripts = {x for c in w if c.isalpha() and ord(c) >= 0x370 for x in [_script(c)] if x}
-            only_latin = any(c.isalpha() and ord(c) < 0x370 and ord(unicodedata.normalize("NFD", c)[0]) not in (_TO_CYRILLIC if "C" in scripts else _TO_GREEK) for c in w)
-            if len(scripts) == 1 and not only_latin:
-                w = unicodedata.normalize("NFC", unicodedata.normalize("NFD", w).translate(_TO_CYRILLIC if "C" in scripts else _TO_GREEK))
+            scripts = {x for c in w if c.isalpha() and ord(c) >= 0x370 for x in [_script(c)] if x is not None}
+            if len(scripts) == 1:
+                back = _BACK[scripts.pop()]
+                if not any(c.isalpha() and ord(c) < 0x370 and ord(unicodedata.normalize("NFD", c)[0]) not in back for c in w):
+                    w = unicodedata.normalize("NFC", unicodedata.normalize("NFD", w).translate(back))
         out.append(w)
     return " ".join(out)
 
 
-def _script(c: str) -> str | None:
+def _script(c: str) -> int | None:
     o = ord(c)
-    return "G" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "C" if 0x400 <= o < 0x530 else None
+    return next((i for i, (a, b, _) in enumerate(_SCRIPTS) if a[0] <= o < a[1] or b[0] <= o < b[1]), None)
 
 
 def normalized(df: DataFrame, columns: list[str], how=consistent, suffix: str = "_norm") -> DataFrame:
@@ -143,6 +161,28 @@ def normalized(df: DataFrame, columns: list[str], how=consistent, suffix: str =
     return df.mapInArrow(run, schema)
 
 
+def several_spellings(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """(id, look, spelling) of the rows whose look is spelled in two ways at least."""
+    rows = normalized(df.select(F.col(key).cast("long").alias("id"), *columns).dropna(), columns, skeleton, "_look")
+    both = lambda s: F.concat_ws("\x00", *(c + s for c in columns))
+    rows = rows.select("id", both("_look").alias("look"), both("").alias("spelling"))
+    several = rows.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).filter("a <> b").select("look")
+    return checkpoint(rows.join(several, "look", "left_semi"))
+
+
+def look_classes(df: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """(id, class_id, links): each row that has a partner in `same_look`, with the smallest id of its look and the number of its partners.
+
+    The form that does not grow with the square of a group. Defined results as in `same_look`; repeated ids count once.
+    Counts are combined in each task before two small tables (looks, spellings) are joined to the rows.
+    """
+    rows = several_spellings(df, columns, key).distinct()
+    spelled = checkpoint(rows.groupBy("look", "spelling").agg(F.count(F.lit(1)).alias("mine"), F.min("id").alias("first")))
+    looks = spelled.groupBy("look").agg(F.sum("mine").alias("all"), F.min("first").alias("class_id"))
+    known = spelled.join(looks, "look").select("look", "spelling", "class_id", (F.col("all") - F.col("mine")).alias("links"))
+    return rows.join(known, ["look", "spelling"]).select("id", "class_id", "links")
+
+
 def same_look(df: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of rows whose `columns` all look the same while at least one differs in characters.
 
@@ -153,11 +193,7 @@ def same_look(df: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
     on. Spellings of a look are paired first, and rows are attached to pairs of spellings, so a spelling that a third
     of all rows share is never compared with itself: work follows the size of the result.
     """
-    rows = normalized(df.select(F.col(key).cast("long").alias("id"), *columns).dropna(), columns, skeleton, "_look")
-    both = lambda s: F.concat_ws("\x00", *(c + s for c in columns))
-    rows = rows.select("id", both("_look").alias("look"), both("").alias("spelling"))
-    several = rows.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).filter("a <> b").select("look")
-    rows = checkpoint(rows.join(several, "look", "left_semi"))
+    rows = several_spellings(df, columns, key)
     spellings = rows.select("look", "spelling").distinct()
     pairs = spellings.join(spellings.withColumnRenamed("spelling", "other"), "look").filter("spelling < other")
     one = pairs.join(rows.select("look", "spelling", F.col("id").alias("x")), ["look", "spelling"])

@@ -89,6 +89,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.same_look(fan_out(table(spark, sf, "books").select("id", "title", "author")), ["title", "author"])
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each row with a partner of the same look: its class and the number of its partners."""
+    return lookalike.look_classes(fan_out(table(spark, sf, "books").select("id", "title", "author")), ["title", "author"])
+
+
 def p6_consistent(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.normalized(fan_out(table(spark, sf, "books").select("id", "title", "author")), ["title", "author"])
 
@@ -110,7 +115,7 @@ def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cooccurrence.cooccurrence(single_tags(spark, sf), "meta_id", "tag")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_restored, p6_found, p6_consistent, p7_found, p7_pairs, p8_ids, p8_counts, p9_mixture, p9_shares, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_restored, p6_found, p6_classes, p6_consistent, p7_found, p7_pairs, p8_ids, p8_counts, p9_mixture, p9_shares, p10_pieces)}
 
 def _canonical(c: str) -> str:
     return f"regexp_replace(regexp_replace(lower(upper({c})), '[ßẞ]', 'ss', 'g'), '[\\s\\p{{Z}}\\p{{Cc}}\\p{{P}}$+<=>^`|~]+', '', 'g')"

@@ -22,6 +22,7 @@ def test_pairs():
 
 def test_consistent_keeps_scripts():
     assert M.consistent("Верхняя карта") == "Верхняя карта" and M.consistent("Вridgе") == "Bridge" and M.consistent("Βιβλίο") == "Βιβλίο"
+    assert M.consistent("Հայոց") == "Հայոց" and M.consistent("ᏣᎳᎩ") == "ᏣᎳᎩ" and M.consistent("ⲁⲟⲣ") == "ⲁⲟⲣ"
     assert M.consistent("می‌خ") == "می‌خ"  # the joiner has a look there
 
 
@@ -59,3 +60,22 @@ def test_shared_spelling_makes_no_pairs(spark):
 def test_long(spark):
     df = spark.createDataFrame([(1, "Ａ" * 100_000, "x"), (2, "A" * 100_000, "x")], "id LONG, title STRING, author STRING")
     assert M.same_look(df, ["title", "author"]).count() == 1
+
+
+def test_scripts_beside_those_of_the_tables():
+    for t in ("𝐀nna", "𝒜nna", "Ⓐnna", "Ꭺnna", "ꓮnna", "Ⲁnna", "Αnna"):
+        assert M.skeleton(t) == "Anna", t
+    assert M.skeleton("ꜱᴏᴄ") == "soc" and M.skeleton("Ⅻ") == "XII" and M.skeleton("ⅼ") == "l"
+    for a, b in ((M.CYRILLIC, M.CYRILLIC_LIKE), (M.GREEK, M.GREEK_LIKE), (M.OTHER, M.OTHER_LIKE), (M.COPTIC, M.COPTIC_LIKE), (M.CHEROKEE, M.CHEROKEE_LIKE), (M.LISU, M.LISU_LIKE), (M.SMALL_CAPITALS, M.SMALL_CAPITALS_LIKE)):
+        assert len(a) == len(b) == len(set(a))
+
+
+def test_classes_agree_with_pairs(spark, data):
+    import collections
+
+    df = spark.read.parquet(f"{data}/books.parquet").select("id", "title", "author")
+    links = collections.Counter(i for r in M.same_look(df, ["title", "author"]).collect() for i in r)
+    got = {r.id: r for r in M.look_classes(df, ["title", "author"]).collect()}
+    assert {i: r.links for i, r in got.items()} == dict(links) and len(got) > 0
+    assert all(r.class_id <= i and got[r.class_id].class_id == r.class_id for i, r in got.items())
+    assert M.look_classes(df.limit(0), ["title", "author"]).count() == 0
