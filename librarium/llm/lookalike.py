@@ -83,7 +83,7 @@ def _joins_matter(text: str, i: int) -> bool:
     return any(0x600 <= ord(c) < 0x1100 or 0x1780 <= ord(c) < 0x18B0 or 0xFE00 <= ord(c) < 0xFE10 or (unicodedata.category(c) == "So" and not 0x2E80 <= ord(c) < 0x2FE0) for c in near)
 
 
-def _canonical_segment(text: str, a: int, b: int) -> str:
+def _canonical_segment(text: str, a: int, b: int, table: dict[int, str] = _TO_LATIN) -> str:
     out = []
     for i in range(a, b):
         c = text[i]
@@ -95,10 +95,10 @@ def _canonical_segment(text: str, a: int, b: int) -> str:
             out.append(" ")
         else:
             out.append(_fold_width(c) if o >= 0x80 else c)
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", "".join(out)).translate(_TO_LATIN))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", "".join(out)).translate(table))
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str, table: dict[int, str] = _TO_LATIN) -> str:
     """The form by which texts that look the same are equal.
 
     Only segments that hold an unstable character are touched: each is widened to the character before it, with which
@@ -119,7 +119,7 @@ def skeleton(text: str) -> str:
         while b < n and kind(text[b]) != STABLE:
             b += 1
         out.append(text[done:a])
-        out.append(_canonical_segment(text, a, b))
+        out.append(_canonical_segment(text, a, b, table))
         done = i = b
     out.append(text[done:])
     return "".join(out)
@@ -130,16 +130,23 @@ def consistent(text: str) -> str:
     s = skeleton(text)
     if s.isascii():
         return s
-    words, out = s.split(" "), []
-    for w in words:
-        if not w.isascii():
-            scripts = {x for c in w if c.isalpha() and ord(c) >= 0x370 for x in [_script(c)] if x is not None}
-            if len(scripts) == 1:
-                back = _BACK[scripts.pop()]
-                if not any(c.isalpha() and ord(c) < 0x370 and ord(unicodedata.normalize("NFD", c)[0]) not in back for c in w):
-                    w = unicodedata.normalize("NFC", unicodedata.normalize("NFD", w).translate(back))
-        out.append(w)
-    return " ".join(out)
+    return " ".join(w if w.isascii() else _in_one_script(o, w) for o, w in zip(skeleton(text, {}).split(" "), s.split(" ")))
+
+
+def _in_one_script(own: str, latin: str) -> str:
+    """A word with its own letters where one script besides Latin is left in it and can write all of it."""
+    scripts = {x for c in latin if c.isalpha() and ord(c) >= 0x370 for x in [_script(c)] if x is not None}
+    if len(scripts) != 1:
+        return latin
+    at = scripts.pop()
+    out = []
+    for o, c in zip(unicodedata.normalize("NFD", own), unicodedata.normalize("NFD", latin)):
+        if o.isalpha() and _script(o) != at:
+            if ord(c) < 0x370 and ord(c) not in _BACK[at]:
+                return latin
+            o = _BACK[at].get(ord(c), c)
+        out.append(o)
+    return unicodedata.normalize("NFC", "".join(out))
 
 
 def _script(c: str) -> int | None:
