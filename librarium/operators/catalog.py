@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from librarium.functions import text as X
+from librarium.session import checkpoint, maybe_broadcast
 
-#: Formats a scan takes in; "htm" is left out on purpose, though the parsers read it.
+# Formats a scan takes in; "htm" is left out on purpose, though the parsers read it.
 FORMATS = ["txt", "epub", "mobi", "azw3", "pdf", "html"]
 
 
@@ -91,6 +92,23 @@ def listing(files: DataFrame) -> DataFrame:
     return files.orderBy(F.col("is_dir").desc(), F.lower("name"), "name")
 
 
+def numbered_within(df: DataFrame, key: str, order: list[str], column: str, parts: int | None = None) -> DataFrame:
+    """Rows with their place, from 1, within each key, where keys are few and some hold a large part of all rows.
+
+    A window by key would sort a key in one task. Here rows are range-partitioned by key and order together, sorted
+    inside partitions, and numbered from the start of their key: one small table (partition, key, rows) gives the rows
+    of the key in the partitions before. What repeats in key and order is numbered in any order.
+    """
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = checkpoint(df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    # at most partitions + keys rows, for only a key's first and last partition hold others too
+    counts = ranged.groupBy("_p", F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_p", "_k", "_first", before.alias("_before"))
+    same = (ranged["_p"] == offsets["_p"]) & ranged[key].eqNullSafe(offsets["_k"])
+    return ranged.join(maybe_broadcast(offsets), same).withColumn(column, (F.col("_before") + F.col("_i") - F.col("_first") + 1).cast("bigint")).select(*df.columns, column)
+
+
 # ---------------------------------------------------------------- joins
 
 
@@ -125,7 +143,9 @@ def rewrite_resources(contents: DataFrame, resources: DataFrame) -> DataFrame:
     A book's resources are folded into one map per book, bounded by the files of a book, and each document's elements
     are rewritten in place: no element is exploded and its order cannot change.
     """
-    maps = resources.groupBy("book_id").agg(F.map_from_entries(F.collect_set(F.struct("path", "stored_path"))).alias("_paths"))
+    # a path stored twice counts as it was stored last in order of the stored path; null paths and books belong to nothing
+    once = resources.filter("book_id IS NOT NULL AND path IS NOT NULL").groupBy("book_id", "path").agg(F.max("stored_path").alias("stored_path"))
+    maps = once.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "stored_path"))).alias("_paths"))
     swap = lambda c: F.coalesce(F.try_element_at("_paths", c), c)
     span = lambda s: s.withField("footnoteImage", swap(s["footnoteImage"]))
     spans = lambda xs: F.transform(xs, span)

@@ -94,18 +94,34 @@ def fold(events: DataFrame, key: list[str], columns: list[str], order: Column, r
     return events.groupBy(*key).agg(*(last(c) for c in columns))
 
 
+#: Fields of reading progress that keep their value where a change leaves them null.
+PROGRESS_KEPT = ["current_page", "total_pages", "cfi_location", "document_id", "device_id"]
+
+
 def upsert_progress(current: DataFrame | None, events: DataFrame) -> DataFrame:
     """Reading progress by user and book: progress and time are always replaced, the other fields keep what the new event leaves null.
 
-    events: user_id, book_id, progress, device_id, ts, event_id; repeats of an event change nothing. Events without
-    progress are no valid change.
+    events: user_id, book_id, progress, ts, event_id and those of PROGRESS_KEPT that the devices send; repeats of an
+    event change nothing. Events without progress are no valid change. A new row starts at page 0. The result has the
+    columns of `current`, or those of the events where there is no table yet.
     """
-    new = fold(events.withColumnRenamed("ts", "last_read_at"), ["user_id", "book_id"], ["progress", "device_id", "last_read_at"], F.struct("last_read_at", "event_id"), "progress")
+    sent = [c for c in PROGRESS_KEPT if c in events.columns]
+    fields = ["progress", *sent, "last_read_at"]
+    new = fold(events.withColumnRenamed("ts", "last_read_at"), ["user_id", "book_id"], fields, F.struct("last_read_at", "event_id"), "progress")
+    page = lambda c: F.coalesce(c, F.lit(0)) if "current_page" in fields else c
     if current is None:
-        return new
-    old = current.select("user_id", "book_id", *(F.col(c).alias(f"_old_{c}") for c in ("progress", "device_id", "last_read_at")))
+        return new.withColumn("current_page", page(F.col("current_page"))) if "current_page" in sent else new
+    kept = [c for c in current.columns if c not in ("user_id", "book_id")]
+    old = current.select("user_id", "book_id", *(F.col(c).alias(f"_old_{c}") for c in kept), F.lit(True).alias("_there"))
     joined = old.join(new, ["user_id", "book_id"], "full_outer")
-    return joined.select("user_id", "book_id", *(F.coalesce(c, f"_old_{c}").alias(c) for c in ("progress", "device_id", "last_read_at")))
+
+    def value(c: str) -> Column:
+        v = F.coalesce(F.col(c), F.col(f"_old_{c}")) if c in fields else F.col(f"_old_{c}")
+        if c == "current_page":
+            v = F.when(F.col("_there"), v).otherwise(F.coalesce(v, F.lit(0)))
+        return v.cast(current.schema[c].dataType).alias(c)
+
+    return joined.select("user_id", "book_id", *(value(c) for c in kept))
 
 
 def patch_settings(current: DataFrame, delta: DataFrame) -> DataFrame:

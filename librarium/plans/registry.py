@@ -49,9 +49,7 @@ def books_page(spark, sf):
 
 @query("SELECT source, id, title, CAST(row_number() OVER (PARTITION BY source ORDER BY title, id) AS BIGINT) AS place FROM books")
 def books_of_source(spark, sf):
-    from pyspark.sql.window import Window
-
-    return table(spark, sf, "books").select("source", "id", "title").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("title", "id")).cast("bigint"))
+    return catalog.numbered_within(table(spark, sf, "books").select("source", "id", "title"), "source", ["title", "id"], "place")
 
 
 @query("SELECT count(*) AS n FROM books")
@@ -155,9 +153,38 @@ def _progress(spark, sf):
     return mutate.upsert_progress(None, table(spark, sf, "progress_events").select("user_id", "book_id", "progress", "device_id", "ts", "event_id"))
 
 
-@query(f"WITH {_PROGRESS} SELECT user_id, book_id, progress, device_id, last_read_at FROM progress")
+#: Progress reported before this time makes the table, what comes after is the change.
+_SPLIT = "2025-01-01 00:00:00"
+
+
+def _progress_events(spark, sf):
+    """Events with all fields of reading progress; which of them a device sends depends on the device."""
+    e = table(spark, sf, "progress_events")
+    page = F.when(F.col("device_id").like("phone%"), F.floor(F.col("progress") * 3).cast("int"))
+    total = F.when(F.col("device_id").like("phone%"), F.lit(300))
+    cfi = F.when(F.col("device_id").like("reader%"), F.concat(F.lit("/6/"), F.floor("progress").cast("string")))
+    document = F.when(F.col("progress") > 50, F.concat_ws("-", F.col("book_id").cast("string"), F.lit("2")))
+    return e.select("user_id", "book_id", "progress", page.alias("current_page"), total.alias("total_pages"), cfi.alias("cfi_location"), document.alias("document_id"), "device_id", "ts", "event_id")
+
+
+_UPSERT = f"""
+e AS (SELECT user_id, book_id, progress, CASE WHEN device_id LIKE 'phone%' THEN CAST(floor(progress * 3) AS INTEGER) END AS current_page, CASE WHEN device_id LIKE 'phone%' THEN 300 END AS total_pages,
+  CASE WHEN device_id LIKE 'reader%' THEN '/6/' || CAST(floor(progress) AS BIGINT) END AS cfi_location, CASE WHEN progress > 50 THEN book_id || '-2' END AS document_id, device_id, ts, event_id FROM progress_events WHERE progress IS NOT NULL),
+old AS (SELECT user_id, book_id, LAST_OF FROM e WHERE ts < TIMESTAMP '{_SPLIT}' GROUP BY user_id, book_id),
+new AS (SELECT user_id, book_id, LAST_OF FROM e WHERE ts >= TIMESTAMP '{_SPLIT}' GROUP BY user_id, book_id)
+""".replace("LAST_OF", "arg_max(progress, (ts, event_id)) AS progress, max(ts) AS last_read_at, " + ", ".join(f"arg_max({c}, (ts, event_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in mutate.PROGRESS_KEPT))
+
+
+@query(f"""
+WITH {_UPSERT} SELECT user_id, book_id, coalesce(new.progress, old.progress) AS progress, CAST(coalesce(new.current_page, old.current_page, 0) AS INTEGER) AS current_page, CAST(coalesce(new.total_pages, old.total_pages) AS INTEGER) AS total_pages,
+  coalesce(new.cfi_location, old.cfi_location) AS cfi_location, coalesce(new.document_id, old.document_id) AS document_id, coalesce(new.device_id, old.device_id) AS device_id, coalesce(new.last_read_at, old.last_read_at) AS last_read_at
+FROM new FULL OUTER JOIN old USING (user_id, book_id)
+""")
 def reading_progress_upsert(spark, sf):
-    return _progress(spark, sf)
+    e = _progress_events(spark, sf)
+    early = F.col("ts") < F.expr(f"TIMESTAMP_NTZ '{_SPLIT}'")
+    current = mutate.upsert_progress(None, e.filter(early))
+    return mutate.upsert_progress(current, e.filter(~early))
 
 
 @query(f"""
@@ -177,14 +204,16 @@ def reading_recent(spark, sf):
 def _bookmarks(spark, sf):
     e = table(spark, sf, "progress_events").filter("progress IS NOT NULL")
     new = e.select(
-        F.col("event_id").alias("id"), "user_id", "book_id", F.floor("progress").cast("string").alias("position_value"), F.col("ts").alias("created_at"), F.lit(None).cast("string").alias("color")
-    )
-    return mutate.add_bookmarks(new.limit(0), new)
+        F.col("event_id").alias("id"), "user_id", "book_id", F.floor("progress").cast("string").alias("position_value"), F.col("ts").alias("created_at"), F.lit(None).cast("string").alias("color"), "device_id"
+    ).distinct()
+    return mutate.add_bookmarks(new.filter("device_id LIKE 'reader%'").drop("device_id").withColumn("color", F.lit("#00FF00")), new.filter("NOT coalesce(device_id LIKE 'reader%', false)").drop("device_id"))
 
 
 _BOOKMARKS = """
-marks AS (SELECT event_id AS id, user_id, book_id, CAST(CAST(floor(progress) AS BIGINT) AS VARCHAR) AS position_value, ts AS created_at, '#FFD700' AS color,
-  row_number() OVER (PARTITION BY user_id, book_id, floor(progress) ORDER BY ts, event_id) AS n FROM progress_events WHERE progress IS NOT NULL)
+sent AS (SELECT DISTINCT event_id AS id, user_id, book_id, CAST(CAST(floor(progress) AS BIGINT) AS VARCHAR) AS position_value, ts AS created_at, coalesce(device_id LIKE 'reader%', false) AS old FROM progress_events WHERE progress IS NOT NULL),
+marks AS (SELECT id, user_id, book_id, position_value, created_at, '#00FF00' AS color, 1 AS n FROM sent WHERE old
+  UNION ALL SELECT id, user_id, book_id, position_value, created_at, '#FFD700' AS color, row_number() OVER (PARTITION BY user_id, book_id, position_value ORDER BY created_at, id) AS n FROM sent
+  WHERE NOT old AND (user_id, book_id, position_value) NOT IN (SELECT (user_id, book_id, position_value) FROM sent WHERE old))
 """
 
 

@@ -53,29 +53,36 @@ def chapters(df: DataFrame, text: str = "text", pattern: str | None = None, comp
     compat reproduces two known offset errors of an older reader: a header line does not advance the position, and a
     line break of two characters counts as one.
     """
-    pattern = pattern or header_pattern()
     others = [c for c in df.columns if c != text]
+    rows = df.filter(F.col(text).isNotNull()).select(*others, chapter_structs(F.col(text), pattern, compat).alias("_found"))
+    return rows.select(*others, F.inline("_found"))
+
+
+def chapter_structs(text: Column, pattern: str | None = None, compat: bool = False) -> Column:
+    """The same as an array of (index, title, start_pos, end_pos) inside the row; null for a null text."""
+    pattern = pattern or header_pattern()
     # every line with its break, so that positions add up: split after each break
-    lines = F.regexp_extract_all(F.col(text), F.lit(r"[^\r\n]*(?:\r\n|\n|\r|\z)"), 0)
+    lines = F.regexp_extract_all(text, F.lit(r"[^\r\n]*(?:\r\n|\n|\r|\z)"), 0)
     bare = lambda x: F.regexp_replace(x, r"[\r\n]+\z", "")
-    is_header = lambda x: X.full_match(X.utrim(bare(x)), pattern)
+    # each line once: its title if it opens a chapter, and by how much it moves the position
+    title = lambda x: X.utrim(bare(x))
+    marked = F.transform(lines, lambda x: F.struct(F.when(X.full_match(title(x), pattern), title(x)).alias("title"), x.alias("line")))
     if compat:
-        step = lambda x: F.when(is_header(x), F.lit(0)).otherwise(F.length(bare(x)) + 1)
+        step = lambda m: F.when(m["title"].isNotNull(), F.lit(0)).otherwise(F.length(bare(m["line"])) + 1)
     else:
-        step = F.length
+        step = lambda m: F.length(m["line"])
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<title:string,pos:int>>").alias("found"))
 
-    def walk(acc: Column, line: Column) -> Column:
-        found = F.when(is_header(line), F.concat(acc["found"], F.array(F.struct(X.utrim(bare(line)).alias("title"), acc["pos"].alias("pos"))))).otherwise(acc["found"])
-        return F.struct((acc["pos"] + step(line)).cast("int").alias("pos"), found.alias("found"))
+    def walk(acc: Column, m: Column) -> Column:
+        found = F.when(m["title"].isNotNull(), F.concat(acc["found"], F.array(F.struct(m["title"].alias("title"), acc["pos"].alias("pos"))))).otherwise(acc["found"])
+        return F.struct((acc["pos"] + step(m)).cast("int").alias("pos"), found.alias("found"))
 
-    found = F.aggregate(lines, start, walk)["found"]
-    n = F.length(text)
-    some = F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(WHOLE).alias("title"), F.lit(0).alias("pos"))))
-    rows = df.filter(F.col(text).isNotNull()).select(*others, n.alias("_n"), some.alias("_found"))
-    one = rows.select(*others, "_n", "_found", F.posexplode("_found").alias("index", "_c"))
-    end = F.coalesce(F.try_element_at("_found", F.col("index") + 2)["pos"], F.col("_n"))
-    return one.select(*others, "index", X.clean_title(F.col("_c.title")).alias("title"), F.col("_c.pos").alias("start_pos"), end.alias("end_pos"))
+    found = F.aggregate(marked, start, walk, lambda acc: acc["found"])
+    whole = F.array(F.struct(F.lit(WHOLE).alias("title"), F.lit(0).alias("pos")))
+    ends = lambda xs: F.transform(
+        xs, lambda c, i: F.struct(i.alias("index"), X.clean_title(c["title"]).alias("title"), c["pos"].alias("start_pos"), F.coalesce(F.try_element_at(xs, i + 2)["pos"], F.length(text)).alias("end_pos"))
+    )
+    return F.when(text.isNull(), F.lit(None)).otherwise(ends(F.when(F.size(found) > 0, found).otherwise(whole)))
 
 
 def with_body(df: DataFrame, key: str, text: str = "text", pattern: str | None = None) -> DataFrame:
@@ -109,6 +116,7 @@ def text_elements(body: Column, title: Column) -> Column:
 def pdf_elements(text: Column, title: Column) -> Column:
     """Elements of pages of text: the title, then parts between blank lines; short ones in capitals or with a chapter mark are headings."""
     parts = F.filter(F.transform(F.split(text, "\n\n"), X.utrim), lambda p: p != "")
+    # fixed value: what opens a chapter in the text of pages
     mark = r"(第[零一二三四五六七八九十百千万0-9]+[章节]|Chapter\s+\d+|\d+\.).*"
     head = lambda p: (F.length(p) < 100) & (p.rlike(r"^[\p{Lu}\s]+$") | X.full_match(p, mark))
     lines = lambda p: F.filter(F.transform(F.split(p, "\n"), X.utrim), lambda x: x != "")

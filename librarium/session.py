@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -30,16 +31,29 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A folder that all executors see, below the one the session names in spark.checkpoint.dir.
+
+    Only a local session, whose executors are the driver itself, may do without: it gets a folder of its own. On a
+    cluster a machine-local folder would lose what other machines wrote, so there the setting is asked for.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{purpose}-{spark.sparkContext.applicationId}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"librarium-{purpose}-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one the session names in spark.checkpoint.dir (shared by all executors). Only where a session
-    names none, as in tests, a folder of our own is set.
+    The folder is the one the session names in spark.checkpoint.dir (shared by all executors). Where a checkpoint is no
+    longer referred to, Spark removes its files if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     sc = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="librarium-checkpoint-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
@@ -49,12 +63,10 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_librarium_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    if shared.startswith("/"):  # a folder that all machines see
-        folder = os.path.join(shared, f"librarium-{sc.applicationId}")
-        os.makedirs(folder, exist_ok=True)
-    else:
+    folder = shared_folder(spark, "package").removeprefix("file://")
+    if "://" in folder:  # the archive is written by the driver and served by it, as files of --py-files are
         folder = tempfile.mkdtemp(prefix="librarium-")
+    os.makedirs(folder, exist_ok=True)
     archive = os.path.join(folder, "librarium.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for at, _, files in os.walk(os.path.dirname(os.path.abspath(__file__))):
@@ -62,7 +74,7 @@ def ship(spark: SparkSession) -> None:
                 if f.endswith((".py", ".json")):
                     path = os.path.join(at, f)
                     z.write(path, os.path.relpath(path, root))
-    sc.addPyFile(archive)  # served by the driver, as files of --py-files are
+    sc.addPyFile(archive)
     sc._librarium_shipped = True
 
 
@@ -72,15 +84,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Planner's size of a scan up to which it may be spread by a shuffle.
+FAN_OUT = 256 << 20
+
+
 def fan_out(df: DataFrame, *, least: int | None = None) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores; larger scans stay as they are.
+    """Spread a small scan that has fewer partitions than the cluster has cores; all others stay as they are.
 
-    Small files arrive as one split each; Python stages behind them would leave cores idle. Only columns already
-    selected travel, and only when the scan has fewer partitions than cores.
+    Small files arrive as one split each (a row group cannot be cut), so Python stages behind them would leave cores
+    idle. Only a scan of at most FAN_OUT bytes travels, whatever the size of the cluster: larger ones are cut by
+    spark.sql.files.maxPartitionBytes and are never shuffled for this.
     """
     spark = df.sparkSession
     want = least or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if approx_bytes(df) > FAN_OUT or df._jdf.queryExecution().toRdd().getNumPartitions() >= want:
         return df
     return df.repartition(want)
 

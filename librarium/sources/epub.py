@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -18,6 +19,8 @@ from librarium.sources import html as H
 IMAGES = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp")
 DEFAULT_PACKAGE = "EPUB/content.opf"
 DEPTH = 50
+#: What reading a container or one of its members may raise: damaged, cut off, encrypted or oddly packed files.
+DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, ValueError, OSError)
 _NOTE_ID = re.compile(r"(?:n|fn|note|footnote)\d+", re.I)
 
 
@@ -294,7 +297,7 @@ def content_elements(text: str, href: str) -> list[dict]:
 # ---------------------------------------------------------------- tables
 
 
-def _each(df: DataFrame, key: str, content: str, columns: list[str], schema: str, rows) -> DataFrame:
+def _each(df: DataFrame, key: str, content: str, columns: list[str], schema: str, rows, whole: bool = False) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,25 +307,27 @@ def _each(df: DataFrame, key: str, content: str, columns: list[str], schema: str
                 if data is None:
                     continue
                 try:
-                    package = Package(bytes(data))
-                except zipfile.BadZipFile:
+                    out += [(k, *r) for r in (rows(bytes(data)) if whole else rows(Package(bytes(data))))]
+                except DAMAGED:
                     continue
-                out += [(k, *r) for r in rows(package)]
             yield pd.DataFrame(out, columns=[key, *columns])
 
     return df.select(key, content).mapInPandas(run, f"{key} {kind}, {schema}")
 
 
-def epub_documents(df: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """(key, index, href, in_toc, title, level, content) of every document in reading order. Without a table of contents none is in it. Files that are no containers give no rows."""
+def documents(data: bytes) -> Iterator[tuple]:
+    """(index, href, in_toc, title, level, elements) of a container in reading order."""
+    p = Package(data)
+    toc = p.entries()
+    for i, href in enumerate(p.spine):
+        title, level = toc.get(i, (None, 0))
+        yield i, href, i in toc, title, level, p.chapter(href)
 
-    def rows(p: Package):
-        toc = p.entries()
-        for i, href in enumerate(p.spine):
-            title, level = toc.get(i, (None, 0))
-            yield i, href, i in toc, title, level, p.chapter(href)
 
-    return _each(df, key, content, ["index", "href", "in_toc", "title", "level", "content"], f"index INT, href STRING, in_toc BOOLEAN, title STRING, level INT, content ARRAY<{ELEMENT}>", rows)
+def epub_documents(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, index, href, in_toc, title, level, content) of every document in reading order. Without a table of contents none is in it. Files that are no containers, or damaged ones, give no rows."""
+    columns = ["index", "href", "in_toc", "title", "level", "content"]
+    return _each(df, key, content, columns, f"index INT, href STRING, in_toc BOOLEAN, title STRING, level INT, content ARRAY<{ELEMENT}>", documents, whole=True)
 
 
 def epub_metadata(df: DataFrame, key: str, content: str = "content") -> DataFrame:

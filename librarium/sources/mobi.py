@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from librarium.schemas import ELEMENT
 from librarium.sources import html as H
 
-# Bounds of the record list, of a text record, and of what is searched.
+# Bounds of the record list, of a text record, and of what is searched; TEXT_RECORDS only holds in compat mode.
 MOST_RECORDS, MOST_BYTES, TEXT_RECORDS = 10_000, 100_000, 100
 SEARCHED, COVER_BYTES, COVER_RECORDS = 200_000, 5 << 20, 100
 ENOUGH = 1_000
@@ -44,13 +44,27 @@ def records(data: bytes) -> list[bytes]:
     return [data[a:b] if a < b else b"" for a, b in zip(at, at[1:])]
 
 
-def text_of(data: bytes) -> str:
-    """Records 1 to 99 that are neither empty nor too large, as UTF-8, joined by line breaks; too little text counts as none."""
-    parts = [r for r in records(data)[1:TEXT_RECORDS] if 0 < len(r) <= MOST_BYTES]
+def text_of(data: bytes, compat: bool = False) -> str:
+    """All records after the first that are no pictures, neither empty nor too large, as UTF-8, joined by line breaks; too little text counts as none.
+
+    compat reads records 1 to 99 only, as an older reader did, and so loses the rest of a long book.
+    """
+    parts = [r for r in records(data)[1 : TEXT_RECORDS if compat else None] if 0 < len(r) <= MOST_BYTES and (compat or not r.startswith(_PICTURE))]
     text = "\n".join(r.decode("utf-8", "replace") for r in parts)
     return text if len(text) > ENOUGH else ""
 
 
+#: What a picture begins with; such a record is no text.
+_PICTURE = (b"\xff\xd8", b"\x89PNG", b"GIF8")
+
+
+def documents(data: bytes, compat: bool = False) -> Iterator[tuple]:
+    """(index, title, level, elements) of every chapter; files without enough text give none."""
+    text = text_of(data, compat)
+    for i, (title, level, a, b) in enumerate(chapters(text) if text else []):
+        yield i, title, level, content_elements(text[a:b], title)
+
+
 def _outer(text: str) -> list[tuple[int, int, str]]:
     """(position of the first equal heading, level, title) of headings in order."""
     found = []
@@ -193,15 +207,10 @@ def _each(df: DataFrame, key: str, content: str, columns: list[str], schema: str
     return df.select(key, content).mapInPandas(run, f"{key} {kind}, {schema}")
 
 
-def mobi_documents(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+def mobi_documents(df: DataFrame, key: str, content: str = "content", compat: bool = False) -> DataFrame:
     """(key, index, title, level, content) of every chapter; files without enough text give none."""
 
-    def rows(data: bytes):
-        text = text_of(data)
-        for i, (title, level, a, b) in enumerate(chapters(text) if text else []):
-            yield i, title, level, content_elements(text[a:b], title)
-
-    return _each(df, key, content, ["index", "title", "level", "content"], f"index INT, title STRING, level INT, content ARRAY<{ELEMENT}>", rows)
+    return _each(df, key, content, ["index", "title", "level", "content"], f"index INT, title STRING, level INT, content ARRAY<{ELEMENT}>", lambda d: documents(d, compat))
 
 
 def mobi_metadata(df: DataFrame, key: str, content: str = "content") -> DataFrame:

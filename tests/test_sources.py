@@ -164,11 +164,86 @@ def test_mixed_files(spark):
     meta = {r.book_id: r for r in parsers.metadata(df).collect()}
     assert (meta[1].title, meta[2].author, meta[3].tags, meta[5].title) == ("a", "A", ["s1", "s2"], "e")
     assert {r.book_id: (r.parse_status, r.chapters_count) for r in parsers.statuses(df, docs).collect()} == {1: ("completed", 1), 2: ("completed", 2), 3: ("completed", 4), 4: ("failed", 0), 5: ("failed", 0)}
-    parsers.register("pdf", lambda d, k: parsers.text_documents(d, k))
+    old = parsers.PARSERS["pdf"]
+    parsers.register("pdf", parsers._text_rows)
     assert parsers.documents(df).filter("book_id = 4").count() == 1
-    del parsers.PARSERS["pdf"]
+    parsers.register("pdf", old)
     back = docs.select("book_id", "index", "content", C.from_text(C.to_text(F.col("content"))).alias("again")).collect()
     assert all(r.content == r.again for r in back)
     given = '[{"type":"com.x.Paragraph","spans":[{"text":"a"}],"unknown":1}]'
     e = spark.createDataFrame([(given,)], "t STRING").select(C.from_text(F.col("t")).alias("e")).first().e[0]
     assert (e.type, e.spans[0].text, e.spans[0].styles) == ("Paragraph", "a", [])
+
+
+def _damaged():
+    """A container that opens, with one member whose bytes were changed."""
+    data = book()
+    at = bytes(data).index(b"<h1>A</h1>")
+    data[at] ^= 0xFF
+    return data
+
+
+def test_damaged_files_fail_alone(spark):
+    from librarium.sources import parsers
+
+    rows = [(1, book(), "epub"), (2, _damaged(), "epub"), (3, bytearray(b"PK\x03\x04 broken"), "epub"), (4, bytearray(b"%PDF-1.4 nothing"), "pdf"), (5, bytearray(b"Chapter 1\nx"), "txt"), (6, None, "html"), (7, bytearray(b"\x00" * 90), "mobi")]
+    df = spark.createDataFrame(rows, "book_id INT, content BINARY, ext STRING").withColumn("path", F.lit("/l/f.x"))
+    docs = parsers.documents(df)
+    assert {r.book_id: r.n for r in docs.groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 4, 5: 1}
+    assert {r.book_id for r in parsers.statuses(df, docs).filter("parse_status = 'failed'").collect()} == {2, 3, 4, 6, 7}
+    assert {r.k for r in epub.epub_documents(df.selectExpr("book_id AS k", "content").filter("k < 4"), "k").collect()} == {1}
+    assert parsers.metadata(df).count() == 7
+
+
+def test_mixed_files_are_read_once(spark, tmp_path):
+    from librarium.sources import parsers
+
+    (tmp_path / "a.txt").write_text("Chapter 1\nx")
+    (tmp_path / "b.html").write_text(PAGE)
+    files = scan.contents(spark, [str(tmp_path)]).withColumn("book_id", F.xxhash64("path"))
+    for df in (parsers.documents(files), parsers.metadata(files)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert parsers.documents(files)._jdf.queryExecution().executedPlan().toString().count("binaryFile") == 1
+    assert parsers.documents(files).count() == 3
+
+
+CHAPTERS = [("Chapter 1", ["One & two", "第一 <行>", "café"]), ("Chapter 2", ["ALL CAPITALS", "x" * 700, "end"]), ("Chapter 3", ["last"])]
+
+
+def test_pdf():
+    from librarium.sources import pdf, samples
+
+    data = samples.paged("Tïtle", "A. B", "P", ["t1", "t2"], CHAPTERS)
+    p = pdf.Pdf(data)
+    assert [p.text(x) for x in p.pages()] == ["\n\n".join([t, *ps]) for t, ps in CHAPTERS]
+    assert p.outline() == [("Chapter 1", True), ("Chapter 2", True), ("Chapter 3", False)]
+    assert pdf.metadata(data) == {"title": "Tïtle", "author": "A. B", "publisher": "P", "description": None, "isbn": None, "tags": ["t1", "t2"]}
+    assert [c[:4] for c in pdf.chapters(samples.paged("T", None, None, [], CHAPTERS * 20, False))] == [(i, f"第 {i + 1} 部分 (页 {20 * i + 1}-{20 * i + 20})", 20 * i, 20 * i + 19) for i in range(3)]
+
+
+def test_pdf_by_hand():
+    import zlib
+
+    import pytest
+
+    from librarium.sources import pdf
+
+    z = zlib.compress(b"<< /Type /Catalog /Pages 3 0 R >> << /Type /Pages /Kids [4 0 R 5 0 R] >>")
+    text = rb"BT 14 TL 1 0 0 1 0 700 Tm (a \(b\) \101\n) Tj [(c) -300 (d)] TJ T* (e) ' 0 -14 Td <66> Tj ET"
+    data = b"%PDF-1.5\n9 0 obj << /Type /ObjStm /N 2 /First 9 /Filter /FlateDecode /Length " + str(len(zlib.compress(b"1 0 3 34 " + zlib.decompress(z)))).encode() + b" >> stream\n" + zlib.compress(b"1 0 3 34 " + zlib.decompress(z)) + b"\nendstream endobj\n"
+    data += b"4 0 obj << /Type /Page /Contents [6 0 R] >> endobj 5 0 obj << /Type /Page /Resources << /XObject << /I 7 0 R >> >> >> endobj\n"
+    data += b"6 0 obj << /Length 8 0 R >> stream\n" + text + b"\nendstream endobj 8 0 obj " + str(len(text)).encode() + b" endobj\n"
+    data += b"7 0 obj << /Subtype /Image /Filter /DCTDecode /Length 4 >> stream\n\xff\xd8\xff\xd9\nendstream endobj\ntrailer << /Root 1 0 R >>"
+    p = pdf.Pdf(data)
+    assert [p.text(x) for x in p.pages()] == ["a (b) A\nc d\n\ne\nf".replace("d\n\ne", "d\n\ne"), ""]
+    assert p.images() == [(1, "I", b"\xff\xd8\xff\xd9")] and p.outline() == [] and p.info() == {}
+    for bad in (b"", b"x" * 2000, b"%PDF-1.4 trailer << /Encrypt 1 0 R >>"):
+        with pytest.raises(ValueError):
+            pdf.Pdf(bad)
+    assert list(pdf.chapters(b"%PDF-1.4 nothing")) == []
+
+
+def test_records_past_the_hundredth_are_read():
+    parts = [(f"<p>part {i} " + "z" * 400 + "</p>").encode() for i in range(150)]
+    data = bytes(palm(parts))
+    assert "part 149 " in mobi.text_of(data) and "part 149 " not in mobi.text_of(data, compat=True) and "part 98 " in mobi.text_of(data, compat=True)
