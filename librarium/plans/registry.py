@@ -511,6 +511,16 @@ def scan_counts_incremental(spark, sf):
     return scan.scan_counts(_found(spark, sf), table(spark, sf, "books").select("file_path"), False)
 
 
+@query(f"""
+WITH {_FOUND}, g AS (SELECT count(*) AS deleted FROM books WHERE source IN (SELECT source FROM found) AND file_path NOT IN (SELECT file_path FROM found))
+SELECT count(*) AS found, count(*) AS imported, (SELECT deleted FROM g) AS deleted FROM found
+""")
+def scan_totals(spark, sf):
+    """The counts of a full scan added up over all sources."""
+    counts = scan.scan_counts(_found(spark, sf), table(spark, sf, "books").select("source", "file_path"), True)
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "imported", "deleted")))
+
+
 @query("SELECT source_id, CASE WHEN root_path IS NULL THEN 'missing' WHEN NOT enabled THEN 'disabled' ELSE 'ready' END AS state FROM book_sources")
 def scan_state(spark, sf):
     return scan.source_state(table(spark, sf, "book_sources"))
@@ -573,9 +583,13 @@ def file_parts(spark, sf):
     return table(spark, sf, "books").select("id", X.directory(p).alias("folder"), n.alias("name"), X.stem(n).alias("stem"), X.extension(n).alias("ext"))
 
 
-@query("SELECT book_id, doc_index, CASE WHEN href IS NOT NULL THEN 'images/' || doc_index || '.png' END AS path FROM book_documents")
+@query("""
+SELECT book_id, doc_index, CASE WHEN href IS NOT NULL THEN CASE doc_index % 7 WHEN 0 THEN 'images/' || doc_index || '.png' WHEN 1 THEN 'up.png' WHEN 2 THEN 'text/a/b.png' WHEN 3 THEN '/abs/./x.png' WHEN 4 THEN 'http://h/../x.png' WHEN 5 THEN 'text/q.png' ELSE href END END AS path FROM book_documents
+""")
 def path_normalize(spark, sf):
-    link = F.concat(F.lit("./../fonts/..//images/"), F.col("doc_index").cast("string"), F.lit(".png"))
+    """Links of chapters of all shapes: up, above the root, with dots and empty parts, absolute, on the web, with a step back."""
+    links = [F.concat(F.lit("../images/"), F.col("doc_index").cast("string"), F.lit(".png")), *map(F.lit, ("../../../up.png", "./a//b.png", "/abs/./x.png", "http://h/../x.png", "p/../q.png")), F.substring_index("href", "/", -1)]
+    link = F.element_at(F.array(*links), (F.col("doc_index") % 7 + 1).cast("int"))
     return table(spark, sf, "book_documents").select("book_id", "doc_index", F.when(F.col("href").isNotNull(), X.normalize_path(link, F.col("href"))).alias("path"))
 
 
@@ -585,13 +599,19 @@ def absolute_urls(spark, sf):
     return table(spark, sf, "book_documents").select("book_id", "doc_index", X.absolute_url(F.col("href"), base).alias("url"))
 
 
+_ENDINGS = ["jpg", "JPEG", "png", "gif", "webp", "Svg", "bmp", "epub", "none"]
+
+
 @query(r"""
-SELECT id, CASE lower(regexp_extract(file_path, '\.([^.]*)$', 1)) WHEN 'png' THEN 'image/png' ELSE 'application/octet-stream' END AS media_type,
+SELECT id, CASE id % 9 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/gif' WHEN 4 THEN 'image/webp' WHEN 5 THEN 'image/svg+xml' WHEN 6 THEN 'image/bmp' ELSE 'application/octet-stream' END AS media_type,
   abs(CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(title, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, x: ((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS BIGINT)) % 10 AS colour
 FROM books
 """)
 def media_and_colour(spark, sf):
-    return table(spark, sf, "books").select("id", X.media_type(X.extension(F.col("file_path"))).alias("media_type"), X.colour_bucket(F.col("title")).cast("bigint").alias("colour"))
+    """Media types of stored files of all kinds, and the colour of a book's title."""
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("id") % 9 + 1).cast("int"))
+    name = F.concat(F.lit("pages."), F.col("id").cast("string"), F.lit("."), ending)
+    return table(spark, sf, "books").select("id", X.media_type(X.extension(name)).alias("media_type"), X.colour_bucket(F.col("title")).cast("bigint").alias("colour"))
 
 
 _HEADER = "|".join(f"(?:{p})" for p in segment.FALLBACK)
@@ -750,3 +770,6 @@ def p5_values(spark: SparkSession, sf: str) -> DataFrame:
 def p5_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     tags = multivalue.elements_of(table(spark, sf, "book_metadata").select("meta_id", "tags"), "meta_id")
     return multivalue.dictionary(tags)
+
+
+from librarium.plans import registry_changes, registry_files  # noqa: E402, F401 - they register their queries

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 
 _WHITE = b"\x00\t\n\x0c\r "
 _OBJECT = re.compile(rb"(?:^|[\s>])(\d+)\s+(\d+)\s+obj\b")
@@ -254,24 +257,24 @@ class Pdf:
                         out.append(" ")
         return "".join(out)
 
-    def _map(self, font) -> tuple[int, dict[int, str]] | None:
-        """(bytes of a code, code to text) of a font with a map to Unicode."""
+    def _map(self, font) -> tuple[int, dict[int, str], list[tuple[int, int, int]]] | None:
+        """(bytes of a code, code to text, ranges of codes with the first character of each) of a font with a map to Unicode."""
         d = self.get(font)
         if not isinstance(d, dict) or "ToUnicode" not in d:
             return None
         cmap = self.stream(d["ToUnicode"])
         width = 2 if d.get("Subtype") == "Type0" else 1
         out: dict[int, str] = {}
+        ranges: list[tuple[int, int, int]] = []
         code = lambda h: int(h, 16)
         text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
         for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
             out.update((code(a), text(b)) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block))
         for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
             for a, b, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
-                base = int(to, 16)
                 if len(to) <= 4:
-                    out.update((c, chr(base + c - code(a))) for c in range(code(a), min(code(b), 0xFFFF) + 1))
-        return width, out
+                    ranges.append((code(a), code(b), code(to)))
+        return width, out, ranges
 
     def outline(self) -> list[tuple[str | None, bool]]:
         """(title, whether it has a target) of the top level of the outline."""
@@ -302,11 +305,17 @@ class Pdf:
         return out
 
 
-def _shown(b: bytes, font: tuple[int, dict[int, str]] | None) -> str:
+def _shown(b: bytes, font: tuple[int, dict[int, str], list[tuple[int, int, int]]] | None) -> str:
     if font is None:
         return b.decode("cp1252", "replace")
-    width, table = font
-    return "".join(table.get(int.from_bytes(b[i : i + width], "big"), "") for i in range(0, len(b), width))
+    width, table, ranges = font
+    out = []
+    for c in (int.from_bytes(b[i : i + width], "big") for i in range(0, len(b), width)):
+        t = table.get(c)
+        if t is None:
+            t = next((chr(base + c - lo) for lo, hi, base in ranges if lo <= c <= hi), "")
+        out.append(t)
+    return "".join(out)
 
 
 def chapter_ranges(outline: list[tuple[str | None, bool]], pages: int) -> list[tuple[str, int, int]]:
@@ -336,3 +345,47 @@ def metadata(data: bytes) -> dict | None:
     clean = lambda k: (info.get(k) or "").strip() or None
     tags = [t for x in re.split("[;,/|]", info.get("Keywords") or "") if 1 <= len(t := x.strip()) <= 50]
     return {"title": clean("Title"), "author": clean("Author"), "publisher": clean("Producer"), "description": clean("Subject"), "isbn": None, "tags": list(dict.fromkeys(tags))}
+
+
+# ---------------------------------------------------------------- tables
+
+
+def _each(df: DataFrame, key: str, content: str, columns: list[str], schema: str, rows: Callable) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, data in zip(pdf[key], pdf[content]):
+                try:
+                    out += [(k, *r) for r in rows(bytes(data))] if data is not None else []
+                except Exception:  # noqa: BLE001 - a damaged file gives no rows and must not end the job
+                    continue
+            yield pd.DataFrame(out, columns=[key, *columns])
+
+    return df.select(key, content).mapInPandas(run, f"{key} {kind}, {schema}")
+
+
+def pdf_pages(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, page from 0, text) of every page."""
+
+    def rows(data: bytes):
+        p = Pdf(data)
+        return [(i, p.text(page)) for i, page in enumerate(p.pages())]
+
+    return _each(df, key, content, ["page", "text"], "page INT, text STRING", rows)
+
+
+def pdf_chapters(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, index, title, start_page, end_page, text) of every chapter."""
+    return _each(df, key, content, ["index", "title", "start_page", "end_page", "text"], "index INT, title STRING, start_page INT, end_page INT, text STRING", chapters)
+
+
+def pdf_metadata(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    names = ["title", "author", "publisher", "description", "isbn", "tags"]
+    schema = "title STRING, author STRING, publisher STRING, description STRING, isbn STRING, tags ARRAY<STRING>"
+    return _each(df, key, content, names, schema, lambda d: [tuple(m[n] for n in names)] if (m := metadata(d)) else [])
+
+
+def pdf_images(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    return _each(df, key, content, ["page", "name", "content"], "page INT, name STRING, content BINARY", lambda d: Pdf(d).images())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -61,7 +62,7 @@ def record_file(title: str, author: str | None, publisher: str | None, tags: lis
     text = "".join(f"<h1>{escape(t)}</h1>" + "".join(f"<p>{escape(p)}</p>" for p in ps) for t, ps in chapters)
     # records break between blocks, so a line break between records changes no text
     records, now = [bytes(head) + b"EXTH" + struct.pack(">II", 12 + len(body), len(exth)) + body], ""
-    for block in text.replace("><", ">\x00<").split("\x00"):
+    for block in (b for whole in text.replace("><", ">\x00<").split("\x00") for b in _cut(whole)):
         if len(now) + len(block) > RECORD and now:
             records.append(now.encode())
             now = ""
@@ -74,6 +75,22 @@ def record_file(title: str, author: str | None, publisher: str | None, tags: lis
     return bytes(76) + struct.pack(">H", len(records)) + table + b"".join(records)
 
 
+#: Between which characters a record may end without parting a word.
+_GAP = re.compile(r"(?<=[\u4e00-\u9fff])(?=[\u4e00-\u9fff])|(?= )")
+
+
+def _cut(block: str) -> Iterator[str]:
+    """A block in parts of about a record, cut where no word is parted."""
+    at = 0
+    while len(block) - at > RECORD:
+        m = _GAP.search(block, at + RECORD)
+        if m is None:
+            break
+        yield block[at : m.start()]
+        at = m.start()
+    yield block[at:]
+
+
 def paged(title: str, author: str | None, publisher: str | None, tags: list[str], chapters: list[tuple[str, list[str]]], outlined: bool = True) -> bytes:
     """A paged file: a page for each chapter with its title and a line for each paragraph, parted by blank lines; an outline of the titles."""
     utf16 = lambda t: b"<" + ("﻿" + t).encode("utf-16-be", "replace").hex().encode() + b">"

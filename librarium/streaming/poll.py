@@ -25,6 +25,47 @@ def statuses(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return texts.select(key, F.when(F.col(text).isNull(), "failed").otherwise("completed").alias("parse_status"))
 
 
+# ---------------------------------------------------------------- states
+
+
+def claim(books: DataFrame, requests: DataFrame, key: str = "id") -> DataFrame:
+    """Requested books that wait (pending or without a state, not parsed) become `parsing`; all others stay.
+
+    A book asked for several times is taken up once, one that is being parsed or is done is not taken up again: the
+    state is the lock, as the table is replaced as a whole.
+    """
+    hit = requests.select(key).distinct().withColumn("_hit", F.lit(True))
+    waits = ~F.col("chapters_parsed") & (F.coalesce(F.col("parse_status"), F.lit("pending")) == "pending")
+    out = books.join(hit, key, "left").withColumn("parse_status", F.when(F.col("_hit") & waits, F.lit("parsing")).otherwise(F.col("parse_status")))
+    return out.select(books.columns)
+
+
+def finish(books: DataFrame, documents: DataFrame, key: str = "id") -> DataFrame:
+    """Books in the state `parsing` become completed if documents came of them, else failed; all others stay.
+
+    documents: the key of each document. To parse a book anew, `mutate.reset` it and claim it again.
+    """
+    done = documents.select(key).distinct().withColumn("_done", F.lit(True))
+    mine, ok = F.col("parse_status") == "parsing", F.coalesce(F.col("_done"), F.lit(False))
+    out = books.join(done, key, "left").withColumns({"parse_status": F.when(mine, F.when(ok, "completed").otherwise("failed")).otherwise(F.col("parse_status")), "chapters_parsed": F.when(mine & ok, F.lit(True)).otherwise(F.col("chapters_parsed"))})
+    return out.select(books.columns)
+
+
+def on_demand(requests: DataFrame, stored: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Chapters of the requested texts: those that are stored are read, the others are parsed; `stored` says which.
+
+    stored: chapters as `parsed` gives them. What was parsed can be appended to it; the result does not depend on how
+    often or where it is asked for, so no lock is needed.
+    """
+    wanted = requests.select(key).distinct()
+    have = stored.join(wanted, key, "left_semi").withColumn("stored", F.lit(True))
+    missing = texts.select(key, text).join(wanted, key, "left_semi").join(stored.select(key).distinct(), key, "left_anti")
+    return have.unionByName(parsed(missing, key, text).withColumn("stored", F.lit(False)))
+
+
+# ---------------------------------------------------------------- streams
+
+
 def parse_stream(
     spark: SparkSession, folder: str, schema: StructType, out: str, checkpoint: str, *, key: str = "doc_id", text: str = "text", files_per_batch: int = 5, every: str | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
@@ -37,6 +78,8 @@ def parse_stream(
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def write(batch: DataFrame, number: int) -> None:
+        # the batch is under way: what a status page shows until its result replaces it
+        batch.select(key, F.lit("parsing").alias("parse_status")).write.mode("overwrite").parquet(f"{out}/status/batch={number}")
         parsed(batch, key, text).write.mode("overwrite").parquet(f"{out}/chapters/batch={number}")
         statuses(batch, key, text).write.mode("overwrite").parquet(f"{out}/status/batch={number}")
         if on_batch:
