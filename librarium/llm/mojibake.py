@@ -101,11 +101,16 @@ def frequent(pairs: DataFrame, share: float = SHARE) -> dict[str, int]:
 
 def mixed(pair: str) -> bool:
     """A Latin letter beside a symbol or a letter of another script; an opening mark before a small letter."""
-    if pair[0] in "¡¿" and pair[1].islower():
+    a, b = pair
+    if a in "¡¿" and b.islower():
         return True
-    return {_side(pair[0]), _side(pair[1])} == {"latin", "other"}
+    if a.isascii() and b.isascii():
+        return False
+    x, y = _side(a), _side(b)
+    return x != y and x != "" and y != ""
 
 
+@lru_cache(maxsize=CACHE)
 def _side(c: str) -> str:
     if ord(c) < 0x250 and c.isalpha() and c not in "ªº":
         return "latin"
@@ -126,14 +131,18 @@ class Model:
             second[p[1]] = second.get(p[1], 0) + n
         self.total = sum(pairs.values()) or 1
         self.second, self.pairs = second, pairs
+        self.singles: dict[str, float] = {}
         self.known: dict[str, float] = {}
         self.words: dict[tuple[str, bool, bool], tuple[str, float]] = {}
 
     def _single(self, c: str) -> float:
         """Likelihood of a character: from the corpus, and a little from its kind. Symbols and rare scripts get least."""
+        if (v := self.singles.get(c)) is not None:
+            return v
         k = unicodedata.category(c)
         base = 2e-6 if k[0] == "L" and ord(c) < 0x250 else 2e-7 if k[0] == "L" else 1e-6 if k[0] == "N" or c in " .,:;!?'\"()-’“”" else 2e-9 if k[0] == "C" or c == "�" else 5e-8
-        return 0.95 * self.second.get(c, 0) / self.total + base
+        v = self.singles[c] = 0.95 * self.second.get(c, 0) / self.total + base
+        return v
 
     def pair(self, p: str) -> float:
         v = self.known.get(p)
@@ -143,9 +152,10 @@ class Model:
             w = n / (n + 20.0)
             a, b = p
             like = 0.0  # letters follow each other in the other case much as they do in this one
-            for q in {a.lower() + b.lower(), a.upper() + b.lower(), a.upper() + b.upper()} - {p}:
-                if len(q) == 2 and (k := self.pairs.get(q, 0)):
-                    like = max(like, 0.02 * k / self.first[q[0]])
+            if (low := p.lower()) != p or p.upper() != p:
+                for q in {low, a.upper() + b.lower(), p.upper()} - {p}:
+                    if len(q) == 2 and (k := self.pairs.get(q, 0)):
+                        like = max(like, 0.02 * k / self.first[q[0]])
             v = -math.log(0.9 * w * seen + (1 - 0.9 * w) * (self._single(p[1]) + like)) + (MIXED if mixed(p) else 0.0)
             if len(self.known) < 500_000:
                 self.known[p] = v
@@ -182,13 +192,25 @@ def _encode(text: str, encoding: str) -> bytes | None:
         return bytes(out)
 
 
+#: Bytes beyond ASCII as UTF-8 has them; what does not look so need not be decoded to fail.
+_UTF8 = re.compile(rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})*\Z")
+
+
 def _decode(data: bytes, encoding: str) -> str | None:
+    if encoding == "utf_8" and not _UTF8.match(data):
+        return None
     try:
         return data.decode(encoding)
     except UnicodeDecodeError:
         return None
 
 
+@lru_cache(maxsize=CACHE)
+def _pages(c: str) -> int:
+    """The encodings of READ_AS that have a character, one bit each."""
+    return sum(1 << i for i, read in enumerate(READ_AS) if _encode(c, read) is not None)
+
+
 def steps(word: str) -> Iterator[str]:
     """Words that are one misreading away."""
     if _ENTITY.search(word):
@@ -196,8 +218,14 @@ def steps(word: str) -> Iterator[str]:
     if word.isascii():
         return
     seen = set()
-    for read in READ_AS:
-        data = _encode(word, read)
+    can = ~0
+    for c in word:
+        if c >= "\x80":
+            can &= _pages(c)
+            if not can:
+                return
+    for i, read in enumerate(READ_AS):
+        data = _encode(word, read) if can >> i & 1 else None
         if data is None or data in seen:
             continue
         seen.add(data)
