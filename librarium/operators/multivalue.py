@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from uuid import uuid4
 
 import ahocorasick
 import pyarrow as pa
@@ -27,7 +28,7 @@ QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "「": "」", "『":
 #: A dictionary value is met alone in at least so many elements, however many there are.
 SUPPORT = 2
 #: The dictionary is sent to every task only below this many characters; beyond it, tasks get only the hits they need.
-DICTIONARY_CHARS = 16 << 20
+DICTIONARY_CHARS = 1 << 20
 _DELIM = re.compile(f"[{re.escape(DELIMITERS)}]")
 _EDGE = " \t\r\n\x0b\x0c 　"
 
@@ -167,6 +168,9 @@ def _clean(text: str) -> str:
     return v
 
 
+_SEGMENTER: dict[str, Segmenter] = {}
+
+
 def split_values(df: DataFrame, column: str = "text", known: DataFrame | None = None, keep: list[str] | None = None, everything: bool = False) -> DataFrame:
     """One row per value: the columns `keep`, pos INT from 0, item STRING.
 
@@ -185,9 +189,13 @@ def split_values(df: DataFrame, column: str = "text", known: DataFrame | None =
     wanted = df if everything else df.filter(F.col(column).rlike(f"[{re.escape(DELIMITERS)}]"))
     if size <= DICTIONARY_CHARS:
         values = [r.value for r in known.select("value").toLocalIterator()]  # below DICTIONARY_CHARS characters
+        shared, token = df.sparkSession.sparkContext.broadcast(values), uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seg = Segmenter(values)
+            if token not in _SEGMENTER:  # built once for each worker, not for each task
+                _SEGMENTER.clear()
+                _SEGMENTER[token] = Segmenter(shared.value)
+            seg = _SEGMENTER[token]
             yield from _rows(batches, lambda text, _: seg.split(text), keep, schema, everything)
 
         return wanted.select(*keep, column).mapInArrow(run, schema)

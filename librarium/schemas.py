@@ -1,4 +1,4 @@
-"""Schemas of the tables; readers state them and never infer."""
+"""Schemas of the library's own tables, for `read`. The queries read stand-ins of other shapes, with the schema their files state."""
 
 from __future__ import annotations
 

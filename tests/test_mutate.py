@@ -139,3 +139,24 @@ def test_small_reads(spark):
     users = spark.createDataFrame([(1,), (2,)], "user_id INT")
     held = mutate.blocked_deletes(users, spark.createDataFrame([(1,)], "user_id INT"), spark.createDataFrame([(1, 2)], "created_by INT, used_by INT"))
     assert rows(held) == [(1, 2), (2, 1)]
+
+
+def test_places_within_few_keys(spark):
+    from librarium.operators import catalog
+
+    rows = [("hot", i % 7, i) for i in range(300)] + [("a", 1, 900), (None, 2, 901), (None, 1, 902), ("hot", 3, 3)]
+    df = spark.createDataFrame(rows, "k STRING, t INT, i INT")
+    got = {}
+    for r in catalog.numbered_within(df, "k", ["t", "i"], "place", parts=5).collect():
+        got.setdefault(r.k, []).append((r.place, r.t, r.i))
+    for k, v in got.items():
+        v.sort()
+        assert [p for p, _, _ in v] == list(range(1, len(v) + 1)) and [x[1:] for x in v] == sorted(x[1:] for x in v), k
+    assert catalog.numbered_within(df.limit(0), "k", ["t"], "place").count() == 0
+
+
+def test_progress_keeps_and_starts(spark):
+    cur = spark.createDataFrame([(1, 1, 10.0, 5, 100, "c", None, "d", D(2024, 1, 1))], "user_id INT, book_id INT, progress DOUBLE, current_page INT, total_pages INT, cfi_location STRING, document_id STRING, device_id STRING, last_read_at TIMESTAMP_NTZ")
+    e = spark.createDataFrame([(1, 1, 20.0, None, 200, None, None, D(2024, 1, 2), 1), (2, 1, 1.0, None, None, None, "dev", D(2024, 1, 3), 2), (3, 1, None, 4, None, None, None, D(2024, 1, 3), 3)], "user_id INT, book_id INT, progress DOUBLE, current_page INT, total_pages INT, cfi_location STRING, device_id STRING, ts TIMESTAMP_NTZ, event_id INT")
+    got = {r.user_id: tuple(r)[2:] for r in mutate.upsert_progress(cur, e).collect()}
+    assert got == {1: (20.0, 5, 200, "c", None, "d", D(2024, 1, 2)), 2: (1.0, 0, None, None, None, "dev", D(2024, 1, 3))}
