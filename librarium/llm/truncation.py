@@ -118,22 +118,32 @@ class Contexts:
             base = np.concatenate([[0], tags])[self.begin]
             self.state += (2 * (tags - np.repeat(base, size) > 0)).astype(np.uint64)
 
-    def inner(self, length: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """All offsets inside texts with a context of `length` characters before them, and the keys of these contexts."""
-        n = len(self.cps)
-        if n <= length:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        with np.errstate(over="ignore"):
-            h = self.sums[length:n] - self.sums[: n - length]
-            h *= self.inverse[: n - length]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= (self.state[length - 1 : n - 1] + np.uint64(8 * (length + 64 * kind))) * np.uint64(0x94D049BB133111EB)
-        ok = np.ones(n + length + 1, bool)
-        for i in range(length):
-            ok[self.begin + i] = False  # too near the start of a text
-        at = np.flatnonzero(ok[length:n]) + length
-        return at, h[at - length].view(np.int64)
+    def inner(self, lengths: tuple[int, ...], kind: int, bits: np.ndarray) -> Iterator[np.ndarray]:
+        """For each length the keys of the contexts before all offsets inside texts that pass the filter at this and all shorter lengths.
+
+        What an offset needs is carried along, so each length costs two look-ups for the offsets that are left.
+        """
+        n, mask, at = len(self.cps), 8 * len(bits) - 1, None
+        for length in lengths:
+            with np.errstate(over="ignore"):
+                if at is None:
+                    h = self.sums[length : max(n, length)] - self.sums[: max(n - length, 0)]
+                    h *= self.inverse[: len(h)]
+                    ends = np.arange(length, length + len(h))
+                    room = (ends - np.repeat(self.begin, self.end - self.begin)[length : length + len(h)]).astype(np.int32)
+                    sums, state, at = self.sums[length : length + len(h)], self.state[length - 1 : length - 1 + len(h)] + np.uint64(512 * kind), ends
+                else:
+                    a = np.maximum(at - length, 0)
+                    h = sums - self.sums[a]
+                    h *= self.inverse[a]
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= (state + np.uint64(8 * length)) * np.uint64(0x94D049BB133111EB)
+            key = h.view(np.int64)
+            low = key & mask
+            left = np.flatnonzero((room >= length) & ((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1))
+            at, sums, state, room = at[left], sums[left], state[left], room[left]
+            yield key[left]
 
     def keys(self, at: np.ndarray, length: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the contexts of `length` characters that end before the offsets `at`; which of them lie in their text."""
@@ -207,23 +217,13 @@ def count_contexts(texts: DataFrame, column: str, common: list[str], ending: byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = set(common), np.frombuffer(shared.value, np.uint8)
-        mask = 8 * len(bits) - 1
         for batch in batches:
             for texts in _sliced([trimmed(t) for t in batch.column(0).to_pylist() if t]):
                 for kind, lengths, c in ((0, LENGTHS, Contexts(texts)), (1, NAMED, Contexts([named(t, known) for t in texts]))):
-                    inner = None
-                    for n in lengths:
+                    for n, inside in zip(lengths, c.inner(lengths, kind, bits)):
                         key, ok = c.keys(c.end, n, kind)
                         yield _counted(key[ok], True)
-                        if inner is None:
-                            inner, key = c.inner(n, kind)
-                            ok = np.ones(len(key), bool)
-                        else:
-                            key, ok = c.keys(inner, n, kind)
-                        low = key & mask
-                        ok &= (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
-                        inner = inner[ok]
-                        yield _counted(key[ok], False)
+                        yield _counted(inside, False)
 
     def _counted(key: np.ndarray, ends: bool) -> pa.RecordBatch:
         codes, k = pd.factorize(key)

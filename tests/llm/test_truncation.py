@@ -93,3 +93,22 @@ def test_hot_ends_and_repeats_give_the_same(texts, monkeypatch):
     monkeypatch.setattr(M, "HOT", 20)
     again = sorted({(r.meta_id, round(r.odds, 9), r.cut) for r in M.truncated(both).filter("odds IS NOT NULL").collect()})
     assert [x[0] for x in once] == [x[0] for x in again] and [x[1] for x in once] == [x[1] for x in again]
+
+
+def test_inner_contexts_against_single_ones():
+    import numpy as np
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab“ <p>") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    for kind, lengths in ((0, M.LENGTHS), (1, M.NAMED)):
+        c = M.Contexts(texts)
+        inner = np.ones(len(c.cps) + 1, bool)
+        inner[c.end] = inner[c.begin] = False
+        inner = np.flatnonzero(inner)
+        bits = np.random.default_rng(1).integers(0, 256, 1 << 10, dtype=np.uint8) | np.uint8(0x77)
+        for n, got in zip(lengths, c.inner(lengths, kind, bits)):
+            key, ok = c.keys(inner, n, kind)
+            low = key & (8 * len(bits) - 1)
+            ok &= (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+            inner = inner[ok]
+            assert (got == key[ok]).all(), (kind, n)
