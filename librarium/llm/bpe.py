@@ -89,10 +89,27 @@ def merge_word(word: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[i
     if whole is not None:
         return [whole]
     n = len(word)
+    get, bucket, w0, w1, w2 = ranks.get, queue.bucket, queue.w0, queue.w1, queue.w2
     piece: list[bytes | None] = [word[i : i + 1] for i in range(n)]
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
     at = [-1] * n  # the rank of the pair that begins here; an entry in the queue with another rank is stale
-    get, push = ranks.get, queue.push
+
+    def push(rank: int, pos: int) -> None:  # as RankQueue.push, without its look-ups
+        have = bucket.get(rank)
+        if have is not None:
+            have.append(pos)
+            return
+        bucket[rank] = [pos]
+        a = rank >> 6
+        x = w0[a]
+        w0[a] = x | 1 << (rank & 63)
+        if not x:
+            c = a >> 6
+            y = w1[c]
+            w1[c] = y | 1 << (a & 63)
+            if not y:
+                w2[c >> 6] |= 1 << (c & 63)
+
     for i in range(n - 1):
         r = get(word[i : i + 2])
         if r is not None:
@@ -100,7 +117,8 @@ def merge_word(word: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[i
             push(r, i)
     while (low := queue.pop_rank()) is not None:
         rank, places = low
-        places.sort()  # equal ranks merge from the left
+        if len(places) > 1:
+            places.sort()  # equal ranks merge from the left
         for i in places:
             if at[i] != rank or piece[i] is None:
                 continue
@@ -119,8 +137,10 @@ def merge_word(word: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[i
             p = prv[i]
             if p >= 0:
                 r = get(piece[p] + merged)
-                at[p] = -1 if r is None else r
-                if r is not None:
+                if r is None:
+                    at[p] = -1
+                else:
+                    at[p] = r
                     push(r, p)
     out, i = [], 0
     while i < n:

@@ -9,14 +9,16 @@ task, or, for giant texts, in as many as there are ranges; the functions are the
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from librarium.llm.bpe import CHUNK, TOKENIZER_DIR, L, N, S, chunks, count_tokens, tokenizer
 from librarium.session import checkpoint
@@ -155,37 +157,65 @@ def table_of(cps, cls, starts, rows, tokens, first, step: int, inner: Inner) ->
     return pos, u, g
 
 
-def choose(pos: list[int], upto: list[int], good: list[int], limit: int, overlap: int) -> list[tuple[int, int, int, int, bool]]:
-    """Pieces (start, end, tokens, kind of the cut at the end, whether a pre-token is cut at either end) over the places of one text.
+class Chooser:
+    """Pieces over the places of one text, which may come in several lots; only those that later pieces may need are kept.
 
     Each piece ends at the best place between FILL of the limit and the limit (the last of equal ones), or at the last
     place below that if there is none. The next piece begins at the place nearest to `overlap` tokens before the end
     that is not more than `overlap` before it. Neighbours share text only up to the end, and each piece ends later
     than the one before.
     """
-    out, i, last = [], 0, len(pos) - 1
-    while True:
-        top = bisect_right(upto, upto[i] + limit) - 1
-        if top >= last:
-            out.append((pos[i], pos[last], upto[last] - upto[i], good[last], i > 0 and not good[i]))
-            return out
-        floor = max(bisect_right(upto, upto[i] + int(limit * FILL)), i + 1)
-        if out:  # ends must advance
-            floor = max(floor, bisect_right(pos, out[-1][1]))
-        top = max(top, i + 1)
-        j = top
-        if floor <= top:
-            best = max(good[floor : top + 1])
-            while good[j] != best:
-                j -= 1
-        out.append((pos[i], pos[j], upto[j] - upto[i], good[j], not good[j] or (i > 0 and not good[i])))
-        k = j
-        if overlap:
-            while k - 1 > i and upto[j] - upto[k - 1] <= overlap:
-                k -= 1
-            while k < j and upto[j + 1] - upto[k] > limit:  # the next piece must get past this end
-                k += 1
-        i = k
+
+    KEEP = 1 << 16
+
+    def __init__(self, limit: int, overlap: int):
+        self.limit, self.overlap = limit, overlap
+        self.pos, self.upto, self.good, self.i, self.end = [], [], [], 0, None
+
+    def feed(self, pos: list[int], upto: list[int], good: list[int], last: bool) -> Iterator[tuple[int, int, int, int, bool]]:
+        """Pieces (start, end, tokens, kind of the cut at the end, whether a pre-token is cut at either end) that the places so far settle; `last` if the text ends with them."""
+        if self.pos:
+            self.pos += pos
+            self.upto += upto
+            self.good += good
+        else:
+            self.pos, self.upto, self.good = pos, upto, good
+        pos, upto, good, limit = self.pos, self.upto, self.good, self.limit
+        n = len(pos) - 1
+        while n >= 0:
+            i = self.i
+            top = bisect_right(upto, upto[i] + limit, i) - 1
+            if top >= n:
+                if last:
+                    yield pos[i], pos[n], upto[n] - upto[i], good[n], self.end is not None and not good[i]
+                break
+            floor = max(bisect_right(upto, upto[i] + int(limit * FILL), i), i + 1)
+            if self.end is not None:  # ends must advance
+                floor = max(floor, bisect_right(pos, self.end, i))
+            j = top = max(top, i + 1)
+            if floor <= top:
+                best = max(good[floor : top + 1])
+                while good[j] != best:
+                    j -= 1
+            if j == n and not last:  # what comes after it decides where the next piece begins
+                break
+            yield pos[i], pos[j], upto[j] - upto[i], good[j], not good[j] or (self.end is not None and not good[i])
+            if j == n:
+                break
+            k = j
+            if self.overlap:
+                while k - 1 > i and upto[j] - upto[k - 1] <= self.overlap:
+                    k -= 1
+                while k < j and upto[j + 1] - upto[k] > limit:  # the next piece must get past this end
+                    k += 1
+            self.i, self.end = k, pos[j]
+        if self.i > self.KEEP:
+            self.pos, self.upto, self.good, self.i = pos[self.i :], upto[self.i :], good[self.i :], 0
+
+
+def choose(pos: list[int], upto: list[int], good: list[int], limit: int, overlap: int) -> list[tuple[int, int, int, int, bool]]:
+    """The pieces of a text whose places are all at hand."""
+    return list(Chooser(limit, overlap).feed(pos, upto, good, True))
 
 
 def pieces_of(text: str, pos: list[int], upto: list[int], good: list[int], limits, count_many) -> Iterator[list]:
@@ -352,94 +382,202 @@ def _batch(keys: pa.Array, out: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=names)
 
 
+#: Ranges of texts: number, characters before the range, characters in it, whether its part reaches the end of the text;
+#: the part is its text with a character before it and a halo.
+_RANGES = T.StructType([
+    T.StructField("_row", T.LongType()), T.StructField("_no", T.IntegerType()), T.StructField("_base", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_last", T.BooleanType()), T.StructField("_part", T.StringType()),
+])
+
+
 def _split_giants(giants: DataFrame, limits, schema, key, name, folder, size: int, halo: int) -> DataFrame:
-    """Texts whose ranges are measured by several tasks; giants has a column _row. A text with a range that is open at its
-    halo's end, or with a piece that came out too large where a pre-token was cut, is split as a whole by one task."""
-    parts = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_no", T.IntegerType()), T.StructField("_of", T.LongType()), T.StructField("_part", T.StringType())])
+    """Texts of a table whose ranges are measured by several tasks; giants has a column _row."""
 
     def cut(batches):
         for batch in batches:
             for row, t in zip(*(c.to_pylist() for c in batch.columns)):
                 for no in range(0, len(t), size):  # one range at a time leaves the task
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f) for v, f in ((row, pa.int64()), (no // size, pa.int32()), (len(t), pa.int64()), (t[max(0, no - 1) : no + size + halo], pa.string()))], names=parts.names)
+                    n = min(size, len(t) - no)
+                    yield _batch_of(_RANGES, [(row, no // size, no, n, no + size + halo >= len(t), t[max(0, no - 1) : no + size + halo])])
+
+    ranges = checkpoint(giants.select("_row", "text").mapInArrow(cut, _RANGES).repartition("_row", "_no"))
+    whole = lambda again: giants.join(again, "_row", "left_semi").select(key, "text")
+    return _split_ranges(ranges, giants.select("_row", F.col(key)), whole, limits, schema, key, name, folder, size, halo)
+
+
+def split_files(
+    spark: SparkSession, paths: list[str] | DataFrame, limits: list[tuple[int, int, int]], *, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, range_bytes: int = 1 << 20, halo: int = HALO
+) -> DataFrame:
+    """Pieces of UTF-8 files as `split_documents` gives them, under the column path; no task loads a whole file.
+
+    A file is read in byte ranges, each by a task of its own: the range with a character before it and a halo after it.
+    Characters are counted by range and summed up over the ranges before; the rest is as for giant texts. paths: a list,
+    or a frame with a column path; any file system that Arrow can open. Bytes that are no UTF-8 become replacement
+    marks. A file with a range that is open at its halo's end is split as a whole by one task. An empty file gives no rows.
+    """
+    limits = [(i, m, max(0, o)) for i, m, o in sorted((int(i), int(m), int(o)) for i, m, o in limits if i is not None and m is not None and m > 0)]
+    df = spark.createDataFrame([(p,) for p in paths], "path STRING") if isinstance(paths, list) else paths.select("path")
+    rows = checkpoint(df.filter("path IS NOT NULL").withColumn("_row", F.monotonically_increasing_id()))
+    places = T.StructType([T.StructField("_row", T.LongType()), T.StructField("path", T.StringType()), T.StructField("_size", T.LongType()), T.StructField("_at", T.LongType())])
+
+    def sizes(batches):
+        for batch in batches:
+            for row, path in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, at = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+                n = fs.get_file_info(at).size
+                if n:
+                    yield _batch_of(places, [(row, path, n, a) for a in range(0, n, range_bytes)])
 
-    # kept where it is, so each range is shuffled once and read again for the pieces
-    ranges = checkpoint(giants.select("_row", "text").mapInArrow(cut, parts).repartition("_row", "_no"))
+    def read(batches):
+        for batch in batches:
+            for row, path, total, at in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, name_ = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+                a = max(0, at - 8)
+                with fs.open_input_file(name_) as f:
+                    data = f.read_at(min(total, at + range_bytes + 4 * halo + 8) - a, a)
+                begin, end = _char_start(data, at - a), _char_start(data, min(at + range_bytes, total) - a)
+                text = data[begin:end].decode("utf-8", "replace")
+                before = data[:begin].decode("utf-8", "replace")[-1:]
+                after = data[end:].decode("utf-8", "replace")
+                yield _batch_of(_RANGES, [(row, at // range_bytes, 0, len(text), a + len(data) >= total and len(after) <= halo, before + text + after[:halo])])
+
+    spread = rows.select("_row", "path").mapInArrow(sizes, places).repartition("_row", "_at")
+    ranges = checkpoint(spread.mapInArrow(read, _RANGES))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_row").orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = ranges.select("_row", "_no", before.alias("_base"))  # a few numbers for each range
+    ranges = checkpoint(ranges.drop("_base").join(known, ["_row", "_no"]).select(_RANGES.names))
+    schema = T.StructType([T.StructField("path", T.StringType()), *_columns()])
+    texts = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
+
+    def load(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, at = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+                with fs.open_input_file(at) as f:
+                    yield _batch_of(texts, [(path, f.read().decode("utf-8", "replace"))])
+
+    whole = lambda again: rows.join(again, "_row", "left_semi").select("path").mapInArrow(load, texts)
+    return _split_ranges(ranges, rows, whole, limits, schema, "path", name, folder, RANGE, halo)
+
+
+def _char_start(data: bytes, at: int) -> int:
+    """The first place from `at` where a character begins."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<tinyint>": pa.list_(pa.int8())}
+
+
+def _batch_of(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[f.dataType.simpleString()]) for c, f in zip(cols, schema)], names=schema.names)
+
+
+def _split_ranges(ranges: DataFrame, keys: DataFrame, whole: Callable[[DataFrame], DataFrame], limits, schema, key: str, name: str, folder: str, size: int, halo: int) -> DataFrame:
+    """Pieces from ranges that lie in different tasks. A text with a range that is open at its halo's end, or with a piece
+    that came out too large where a pre-token was cut, is split as a whole by one task.
+
+    Tables of places are stitched in order of the ranges, a range at a time, so a task holds the places of one range and
+    those of the piece it is at, however long the text is. keys: _row and key; whole: the texts of given rows.
+    """
+    if not limits:
+        return keys.sparkSession.createDataFrame([], schema)
     measured = T.StructType([
-        T.StructField("_row", T.LongType()), T.StructField("_no", T.IntegerType()), T.StructField("_from", T.LongType()), T.StructField("_open", T.BooleanType()),
+        T.StructField("_row", T.LongType()), T.StructField("_no", T.IntegerType()), T.StructField("_base", T.LongType()), T.StructField("_last", T.BooleanType()), T.StructField("_open", T.BooleanType()),
         T.StructField("_pos", T.ArrayType(T.LongType())), T.StructField("_tokens", T.ArrayType(T.LongType())), T.StructField("_good", T.ArrayType(T.ByteType())),
     ])
+    step = min(_step(m, o) for _, m, o in limits)
 
     def measure(batches):
         tok = tokenizer(name, folder)
         inner = Inner(tok)
         for batch in batches:
-            for row, no, total, part in zip(*(c.to_pylist() for c in batch.columns)):
-                base = max(0, no * size - 1)
+            for row, no, base, n_own, last, part in zip(*(c.to_pylist() for c in batch.columns)):
+                start = base - (no > 0)  # offset of the part's first character: one of context before the range
                 cps = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
                 n = len(cps)
-                begin, end = bounds_of_ranges(tok.classes.of(cps), np.array([0]), np.array([n]), np.array([no == 0]), np.array([no * size + size - base]), np.array([base + n >= total]))
+                begin, end = bounds_of_ranges(tok.classes.of(cps), np.array([0]), np.array([n]), np.array([no == 0]), np.array([base + n_own - start]), np.array([last]))
                 begin, end = int(begin[0]), int(end[0])
-                if begin < 0 or end < 0:
-                    yield _row_batch(measured, row, no, 0, True, [], [], [])
-                elif begin < end:
+                p, u, g = [], [], []
+                if 0 <= begin < end:
                     piece = part[begin:end]
                     c2, k2, starts, rows, _ = tok.words_of([piece])
                     tokens = tok.count[rows].astype(np.int64)
                     head = np.zeros(len(c2), bool)
                     head[0] = True
-                    p, u, g = table_of(c2, k2, starts, rows, tokens, head, min(_step(m, o) for _, m, o in limits), inner)
-                    p, u, g = [0, *p.tolist(), len(c2)], [0, *u.tolist(), int(tokens.sum())], [PARAGRAPH, *g.tolist(), PARAGRAPH]
+                    p, u, g = table_of(c2, k2, starts, rows, tokens, head, step, inner)
+                    p, u, g = [start + begin + x for x in (0, *p.tolist(), len(c2))], [0, *u.tolist(), int(tokens.sum())], [PARAGRAPH, *g.tolist(), PARAGRAPH]
                     if begin:  # the place where two ranges meet: white space that begins the range tells how good it is
                         lead = len(piece) - len(piece.lstrip())
                         breaks = int(np.isin(c2[:lead], _NEWLINE).sum())
                         g[0] = PARAGRAPH if breaks > 1 else LINE if breaks else WORD
-                    yield _row_batch(measured, row, no, base + begin, False, [base + begin + x for x in p], u, g)
-
-    def _row_batch(s, *values):
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8())]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=s.names)
-
-    chosen = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_open", T.BooleanType()), *(f for f in _columns() if f.name not in ("piece", "n_tokens"))])
-
-    def stitch(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("_no")
-        row, out = int(pdf["_row"].iloc[0]), []
-        if pdf["_open"].any():
-            return pd.DataFrame([[row, True, None, None, None, None, None]], columns=chosen.names)
-        pos, upto, good, base = [], [], [], 0
-        for p, u, g in zip(pdf["_pos"], pdf["_tokens"], pdf["_good"]):
-            skip = 1 if pos else 0
-            if skip:
-                good[-1] = int(g[0])
-            pos.extend(p[skip:].tolist())
-            upto.extend((u[skip:] + base).tolist())
-            good.extend(g[skip:].tolist())
-            base = upto[-1]
-        for limit_id, most, overlap in limits:
-            if base > most:
-                out += [[row, False, limit_id, no, a, b, KINDS[k]] for no, (a, b, _, k, _) in enumerate(choose(pos, upto, good, most, min(overlap, most // 2)))]
-        return pd.DataFrame(out, columns=chosen.names)
-
-    cuts = checkpoint(ranges.mapInArrow(measure, measured).groupBy("_row").applyInPandas(stitch, chosen))
+                yield _batch_of(measured, [(row, no, base, last, begin < 0 or end < 0, p, u, g)])
+
+    pieces = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_open", T.BooleanType()), *(f for f in _columns() if f.name not in ("piece", "n_tokens")), T.StructField("_from", T.IntegerType()), T.StructField("_to", T.IntegerType())])
+
+    def stitch(batches):
+        now, is_open, tokens, bases, choosers, counts, held, waiting = None, False, 0, [], [], [], None, []
+
+        def rows_of(k: int, found, final: bool = False) -> list[tuple]:
+            out = []
+            for a, b, n, kind, _ in found:
+                if final and counts[k] == 0 and n <= limits[k][1]:
+                    continue  # the whole text is within the limit
+                out.append((now, False, limits[k][0], counts[k], a, b, KINDS[kind]))
+                counts[k] += 1
+            return out
+
+        def placed(upto: int | None) -> list[tuple]:
+            """Pieces whose ranges are all known, with the first and the last of them: a piece may reach past the range that settled it."""
+            nonlocal waiting
+            ready = [r for r in waiting if upto is None or r[5] <= upto]
+            waiting = [r for r in waiting if upto is not None and r[5] > upto]
+            return [(*r, bisect_right(bases, r[4]) - 1, bisect_right(bases, r[5] - 1) - 1) for r in ready]
+
+        def close() -> list[tuple]:
+            nonlocal held
+            if now is not None and not is_open and held is not None:
+                for k, c in enumerate(choosers):
+                    waiting.extend(rows_of(k, c.feed([held[0]], [held[1]], [PARAGRAPH], True), True))
+            held = None
+            return placed(None) + ([(now, True, *[None] * 7)] if is_open else [])
+
+        for batch in batches:
+            out = []
+            for row, _, base, _, opened, p, u, g in zip(*(c.to_pylist() for c in batch.columns)):
+                if row != now:
+                    out += close()
+                    now, is_open, tokens, bases, counts, held = row, False, 0, [], [0] * len(limits), None
+                    choosers = [Chooser(m, min(o, m // 2)) for _, m, o in limits]
+                is_open = is_open or opened
+                bases.append(base)
+                out += placed(base)
+                if p and not is_open:
+                    u = [tokens + x for x in u]
+                    for k, c in enumerate(choosers):  # the end of a range is held back: the next one tells how good it is
+                        waiting += rows_of(k, c.feed(p[:-1], u[:-1], g[:-1], False))
+                    tokens, held = u[-1], (p[-1], u[-1])
+            if out:
+                yield _batch_of(pieces, out)
+        yield _batch_of(pieces, close())
+
+    tables = ranges.select(_RANGES.names).mapInArrow(measure, measured)
+    cuts = checkpoint(tables.repartition("_row").sortWithinPartitions("_row", "_no").mapInArrow(stitch, pieces))
     # each range cuts out its own part of every piece that reaches into it; the parts of a piece are put together in order
-    reach = cuts.filter("NOT _open").withColumn("_no", F.explode(F.sequence(F.expr(f"start_char div {size}"), F.expr(f"(end_char - 1) div {size}")))).withColumn("_no", F.col("_no").cast("int"))
-    base = F.greatest(F.lit(0), F.col("_no") * size - 1)
-    a, b = F.greatest("start_char", F.col("_no") * F.lit(size)), F.least("end_char", (F.col("_no") + 1) * F.lit(size))
-    of = reach.join(ranges.drop("_of"), ["_row", "_no"]).withColumn("_text", F.substring("_part", (a - base + 1).cast("int"), (b - a).cast("int")))
-    named = [f.name for f in chosen if f.name != "_open"]
+    named = [f.name for f in pieces if f.name not in ("_open", "_from", "_to")]
+    reach = cuts.filter("NOT _open").select(*named, F.explode(F.sequence("_from", "_to")).alias("_no"))
+    a, b = F.greatest("start_char", "_base"), F.least("end_char", F.col("_base") + F.col("_n"))
+    start = F.col("_base") - F.when(F.col("_no") > 0, 1).otherwise(0)
+    of = reach.join(ranges.drop("_last"), ["_row", "_no"]).withColumn("_text", F.substring("_part", (a - start + 1).cast("int"), (b - a).cast("int")))
     whole_pieces = of.groupBy(*named).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_text"))), lambda x: x["_text"]), "").alias("piece"))
     counted = checkpoint(count_tokens(whole_pieces, text="piece", keep=[*named, "piece"], name=name, folder=folder))
-    most = F.create_map(*(F.lit(x) for i, m, _ in limits for x in (i, m))) if limits else None
-    again = cuts.filter("_open").select("_row")
-    if limits:
-        again = again.unionByName(counted.filter((F.col("n_tokens") > most[F.col("limit_id")]) & (F.length("piece") > 1)).select("_row")).distinct()
-    keys = giants.select("_row", F.col(key))
-    done = counted.join(again, "_row", "left_anti").join(keys, "_row").select(*(f.name for f in schema))
-
-    def whole(batches):
+    most = F.create_map(*(F.lit(x) for i, m, _ in limits for x in (i, m)))
+    large = counted.filter((F.col("n_tokens") > most[F.col("limit_id")]) & (F.length("piece") > 1)).select("_row")
+    again = cuts.filter("_open").select("_row").unionByName(large).distinct()
+    done = counted.join(again, "_row", "left_anti").join(keys.select("_row", key), "_row").select(*(f.name for f in schema))
+
+    def alone(batches):
         tok = tokenizer(name, folder)
         inner = Inner(tok)
         for batch in batches:
@@ -448,7 +586,7 @@ def _split_giants(giants: DataFrame, limits, schema, key, name, folder, size: in
                 if out:
                     yield _batch(pa.array([k.as_py()] * len(out), batch.schema.field(0).type), out, schema.names)
 
-    return done.unionByName(giants.join(again, "_row", "left_semi").select(key, "text").mapInArrow(whole, schema))
+    return done.unionByName(whole(again).mapInArrow(alone, schema))
 
 
-__all__ = ["CHUNK", "choose", "places", "split_documents"]
+__all__ = ["CHUNK", "choose", "places", "split_documents", "split_files"]

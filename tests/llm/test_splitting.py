@@ -91,3 +91,43 @@ def test_cuts_are_natural(spark):
 
 def test_empty(spark, odd):
     assert splitting.split_documents(odd.limit(0), LIMITS).count() == 0 and splitting.split_documents(odd, []).count() == 0
+
+
+def test_places_in_lots_give_the_same_pieces():
+    rng = random.Random(8)
+    for limit, overlap in ((20, 5), (7, 0), (50, 25)):
+        pos = sorted(rng.sample(range(20_000), 3000))
+        upto = [0]
+        for _ in pos[1:]:
+            upto.append(upto[-1] + rng.randint(0, 6))
+        good = [rng.randint(0, 5) for _ in pos]
+        want = splitting.choose(list(pos), list(upto), list(good), limit, overlap)
+        c, got, at = splitting.Chooser(limit, overlap), [], 0
+        c.KEEP = 50
+        while at < len(pos):
+            to = min(len(pos), at + rng.randint(1, 200))
+            got += c.feed(pos[at:to], upto[at:to], good[at:to], to == len(pos))
+            at = to
+        assert got == want and len(c.pos) < 1000
+
+
+def test_files_are_split_as_texts(spark, tmp_path, odd):
+    texts = {r.doc_id: r.text for r in odd.collect() if r.text}
+    for i, t in texts.items():
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    paths = [str(p) for p in tmp_path.iterdir()]
+    tok = tokenizer()
+    for limits in (LIMITS, [(1, 20, 5)]):
+        for size, halo in ((997, 300), (1 << 20, 1 << 10)):
+            got = collections.defaultdict(list)
+            for r in splitting.split_files(spark, paths, limits, range_bytes=size, halo=halo).collect():
+                got[int(r.path.rsplit("/", 1)[1][:-4]), r.limit_id].append(r)
+            for (i, limit), ps in got.items():
+                ps.sort(key=lambda r: r.piece_no)
+                most = {x: m for x, m, _ in limits}[limit]
+                assert [p.piece_no for p in ps] == list(range(len(ps))) and ps[0].start_char == 0 and ps[-1].end_char == len(texts[i])
+                assert all(p.piece == texts[i][p.start_char : p.end_char] and (p.n_tokens == len(tok.encode(p.piece)) <= most or len(p.piece) == 1) for p in ps), (i, limit, size)
+                assert all(b.start_char <= a.end_char < b.end_char for a, b in zip(ps, ps[1:]))
+            assert set(got) == {(i, x) for i, t in texts.items() for x, m, _ in limits if len(tok.encode(t)) > m}
+    assert splitting.split_files(spark, paths, []).count() == 0 and splitting.split_files(spark, [], LIMITS).count() == 0
