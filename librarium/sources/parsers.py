@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from librarium.functions import text as X
 from librarium.plans import segment
 from librarium.schemas import ELEMENT
-from librarium.sources import epub, html, mobi, pdf, scan
+from librarium.sources import epub, generic, html, mobi, pdf, scan
 
 Parser = Callable[[bytes], Iterable[tuple]]
 Extractor = Callable[[bytes], "dict | None"]
@@ -57,7 +57,7 @@ def _html_metadata(data: bytes) -> dict | None:
 
 
 PARSERS: dict[str, Parser] = {"text": _text_rows, "html": _html_rows, "epub": _epub_rows, "mobi": _mobi_rows, "pdf": _pdf_rows}
-EXTRACTORS: dict[str, Extractor] = {"html": _html_metadata, "epub": lambda d: epub.Package(d).metadata(), "mobi": mobi.metadata, "pdf": pdf.metadata}
+EXTRACTORS: dict[str, Extractor] = {"html": _html_metadata, "epub": lambda d: epub.Package(d).metadata(), "mobi": mobi.metadata, "pdf": pdf.metadata, "generic": generic.metadata}
 
 
 def register(name: str, parser: Parser | None = None, extractor: Extractor | None = None) -> None:
@@ -118,7 +118,7 @@ def metadata(files: DataFrame, key: str = "book_id", ext: str = "ext", path: str
     stands in as a whole (`scan.choose_metadata`).
     """
     functions = {k: (lambda d, f=f: [tuple(m[c] for c in METADATA)] if (m := f(d)) else []) for k, f in EXTRACTORS.items()}
-    functions |= {k: (lambda d: []) for k in ("text", "generic") if k not in EXTRACTORS}
+    functions |= {k: (lambda d: []) for k in ("text",) if k not in EXTRACTORS}
     routed = scan.by_parser(files, ext)
     found = _by_file(routed, key, "extractor", functions, METADATA, "title STRING, author STRING, publisher STRING, description STRING, isbn STRING, tags ARRAY<STRING>")
     name = X.stem(X.file_name(F.col(path)))

@@ -113,7 +113,10 @@ def paged(title: str, author: str | None, publisher: str | None, tags: list[str]
         for i, p in enumerate([t, *ps]):
             draw.append((b"0 -30 Td " if i else b"") + b"<" + "".join(c for c in p if ord(c) < 0x10000).encode("utf-16-be", "replace").hex().encode() + b"> Tj")
         body = add(stream(b"\n".join([*draw, b"ET"])))
-        kids.append(add(b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R >>" % (pages, body)))
+        picture = b"\xff\xd8" + b"picture of page %d" % len(kids)
+        image = add(b"<< /Type /XObject /Subtype /Image /Filter /DCTDecode /Length %d >>\nstream\n%s\nendstream" % (len(picture), picture))
+        fonts = b" /Resources << /Font << /F1 %d 0 R >> /XObject << /Im1 %d 0 R >> >>" % (font, image) if len(kids) % 2 else b""  # the others inherit theirs
+        kids.append(add(b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R%s >>" % (pages, body, fonts)))
     objects[pages - 1] = b"<< /Type /Pages /Count %d /Kids [%s] /Resources << /Font << /F1 %d 0 R >> >> >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids), font)
     outline = b""
     if outlined and chapters:
@@ -137,6 +140,15 @@ def paged(title: str, author: str | None, publisher: str | None, tags: list[str]
     return bytes(out)
 
 
+def office(title: str, author: str | None, publisher: str | None, tags: list[str], chapters: list[tuple[str, list[str]]]) -> bytes:
+    """An office document that holds nothing but its core properties."""
+    out = io.BytesIO()
+    fields = "".join(f"<{k}>{escape(v)}</{k}>" for k, v in [("dc:title", title), ("dc:creator", author), ("dc:publisher", publisher), ("cp:keywords", "; ".join(tags) or None)] if v is not None)
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("docProps/core.xml", f'<cp:coreProperties xmlns:cp="urn:cp" xmlns:dc="http://purl.org/dc/elements/1.1/">{fields}</cp:coreProperties>')
+    return out.getvalue()
+
+
 #: What stays of a value written into a file: no control characters and nothing that XML does not allow.
 PLAIN = r"[\x00-\x1F\x7F-\x9F\x{FFFE}\x{FFFF}\x{FEFF}]"
 

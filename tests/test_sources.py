@@ -215,6 +215,7 @@ def test_pdf():
 
     data = samples.paged("Tïtle", "A. B", "P", ["t1", "t2"], CHAPTERS)
     p = pdf.Pdf(data)
+    assert p.images() == [(1, "Im1", b"\xff\xd8picture of page 1")]
     assert [p.text(x) for x in p.pages()] == ["\n\n".join([t, *ps]) for t, ps in CHAPTERS]
     assert p.outline() == [("Chapter 1", True), ("Chapter 2", True), ("Chapter 3", False)]
     assert pdf.metadata(data) == {"title": "Tïtle", "author": "A. B", "publisher": "P", "description": None, "isbn": None, "tags": ["t1", "t2"]}
@@ -247,3 +248,12 @@ def test_records_past_the_hundredth_are_read():
     parts = [(f"<p>part {i} " + "z" * 400 + "</p>").encode() for i in range(150)]
     data = bytes(palm(parts))
     assert "part 149 " in mobi.text_of(data) and "part 149 " not in mobi.text_of(data, compat=True) and "part 98 " in mobi.text_of(data, compat=True)
+
+
+def test_generic_metadata():
+    from librarium.sources import generic, samples
+
+    assert generic.metadata(samples.office("T & t", None, "P", ["a", "b"], [])) == {"title": "T & t", "author": None, "publisher": "P", "description": None, "isbn": None, "tags": ["a", "b"]}
+    book = b'<?xml version="1.0"?><FictionBook><description><title-info><book-title>B</book-title><author>A  C</author><keywords>x, y</keywords></title-info></description></FictionBook>'
+    assert generic.metadata(book)["title"] == "B" and generic.metadata(book)["author"] == "A C" and generic.metadata(book)["tags"] == ["x", "y"]
+    assert generic.metadata(b"plain") is None and generic.metadata(b"<?xml broken") is None and generic.metadata(b"<?xml version='1.0'?><a/>") is None and generic.metadata(b"x" * (11 << 20)) is None
