@@ -245,7 +245,7 @@ def rules_import(spark, sf):
 @query(f"WITH {_PAYLOAD} SELECT name, rule, example, priority, true AS enabled FROM r")
 def rules_initial(spark, sf):
     """Rules of a file, read as one text, for a table that is still empty; a filled one would take none."""
-    folder = shared_folder(spark, f"rules-{os.urandom(6).hex()}")
+    folder = shared_folder(spark, f"rules-{os.urandom(6).hex()}") + "/rules"
     _payload(spark, sf).coalesce(1).write.text(folder)
     rules = scan.rule_file(spark, f"{folder}/part-*")
     filled = scan.initial_rules(rules.limit(1), rules)
