@@ -213,10 +213,10 @@ def count_contexts(texts: DataFrame, column: str, common: list[str], ending: byt
     only where the next shorter one is one at which a text ends, for else no text ends at the longer one either.
     """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(ending)  # of bounded size
+    shared, words = spark.sparkContext.broadcast(ending), spark.sparkContext.broadcast(common)  # both of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = set(common), np.frombuffer(shared.value, np.uint8)
+        known, bits = set(words.value), np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for texts in _sliced([trimmed(t) for t in batch.column(0).to_pylist() if t]):
                 for kind, lengths, c in ((0, LENGTHS, Contexts(texts)), (1, NAMED, Contexts([named(t, known) for t in texts]))):
@@ -238,9 +238,10 @@ def count_contexts(texts: DataFrame, column: str, common: list[str], ending: byt
 def last_contexts(texts: DataFrame, key: str, column: str, common: list[str]) -> DataFrame:
     """(key, rank, context, language) of each text: its contexts from the least to the most telling."""
     schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("rank", T.IntegerType()), T.StructField("context", T.LongType()), T.StructField("language", T.StringType())])
+    words = texts.sparkSession.sparkContext.broadcast(common)  # bounded by RARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(common)
+        known = set(words.value)
         for batch in batches:
             keys, raw = batch.column(0), batch.column(1).to_pylist()
             rows = np.array([i for i, t in enumerate(raw) if t], np.int64)
