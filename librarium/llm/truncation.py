@@ -55,8 +55,10 @@ CHUNK = 1 << 19
 
 def trimmed(text: str) -> str:
     """Without the marks of a cut; a text that is nothing else stays as it is."""
-    t = _TAIL.sub("", text)
-    return t or text
+    c = text[-1:]
+    if c == "." and text[-3:] != "..." or not (c in ".…]�" or c.isspace()):
+        return text
+    return _TAIL.sub("", text) or text
 
 
 def words_of(texts: DataFrame, column: str, rare: float = RARE) -> DataFrame:
