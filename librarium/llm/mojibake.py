@@ -246,6 +246,9 @@ def _keeps_ascii(text: str, t: str) -> bool:
     return [c for c in text if c < "\x80"] == [c for c in t if c < "\x80"]
 
 
+_ASCII_HEAD = re.compile(r"[\x00-\x7f]*")
+
+
 def restore_word(word: str, left: str, right: str, model: Model) -> tuple[str, float]:
     """The cheapest reachable word that can be read, and what it gains, with the characters that stand around the word."""
     start = model.cost(left + word + right)
@@ -256,10 +259,13 @@ def restore_word(word: str, left: str, right: str, model: Model) -> tuple[str, f
         if cost < best_cost and _printable(w) and _keeps_ascii(word, w):
             best, best_cost = w, cost
         price = FURTHER * depth
+        # no step changes what stands before the first character beyond ASCII, but for entities
+        head = _ASCII_HEAD.match(w)[0] if not _ENTITY.search(w) else ""
+        same, joint, n = model.cost(left + head), (left + head)[-1], len(head)
         for nxt in steps(w):
             if nxt not in seen:
                 seen.add(nxt)
-                c = model.cost(left + nxt + right, cost - price) + price
+                c = same + model.cost(joint + nxt[n:] + right, cost - price - same) + price
                 if c < cost:
                     heapq.heappush(heap, (c, depth + 1, nxt))
     return best, start - best_cost
