@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from librarium.llm import bpe, cooccurrence, formatting, lookalike, mixing, mojibake, names, splitting, truncation
 from librarium.operators import multivalue
@@ -18,6 +21,19 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(fan_out(table(spark, sf, "documents").select("doc_id", "text")))
 
 
+def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of each text as its ids spell it: encoding loses nothing."""
+    schema = "doc_id BIGINT, digest STRING"
+
+    def spell(batches):
+        token = {v: k for k, v in bpe.tokenizer().ranks.items()}
+        for batch in batches:
+            texts = [b"".join(map(token.__getitem__, ids)) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(t).hexdigest() for t in texts])], names=["doc_id", "digest"])
+
+    return p8_ids(spark, sf).mapInArrow(spell, schema)
+
+
 def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of each document, for sizing."""
     return bpe.count_tokens(fan_out(table(spark, sf, "documents").select("doc_id", "text")))
@@ -31,6 +47,19 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, sf), table(spark, sf, "mix_targets"))
 
 
+#: How far the share of a source may lie from its target: a document is taken whole.
+TOLERANCE = 0.05
+
+
+def p9_reached(spark: SparkSession, sf: str) -> DataFrame:
+    """Each listed source with its share of all tokens (the target among sources with documents, where it is met within TOLERANCE) and whether no document was taken too often."""
+    s = p9_shares(spark, sf)
+    with_documents = F.when(F.col("documents") > 0, F.col("target_share")).otherwise(0.0)
+    expected = with_documents / F.sum(with_documents).over(Window.partitionBy(F.lit(0)))  # one row for each listed source
+    met = F.abs(F.col("actual_share") - F.col("expected")) <= TOLERANCE
+    return s.withColumn("expected", expected).select("source", F.when(met, F.col("expected")).otherwise(F.col("actual_share")).alias("share"), (F.col("most_copies") <= F.col("max_repeat")).alias("cap_kept"))
+
+
 def split_limits(spark: SparkSession, sf: str) -> list[tuple[int, int, int]]:
     """The settings of problem 10: a table of fixed size, three rows."""
     return [(r.limit_id, r.max_tokens, r.overlap_tokens) for r in table(spark, sf, "split_limits").toLocalIterator()]
@@ -40,6 +69,18 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_documents(fan_out(table(spark, sf, "documents").select("doc_id", "text")), split_limits(spark, sf))
 
 
+def p10_rejoined(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of each text for each limit, put together again from its pieces without their overlaps; texts within a limit as they are."""
+    one = F.struct("piece_no", "start_char", "end_char", "piece")
+    told = p10_pieces(spark, sf).groupBy("doc_id", "limit_id").agg(F.array_sort(F.collect_list(one)).alias("ps"))  # the pieces of one text
+    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit("").alias("text"))
+    add = lambda acc, p: F.struct(p["end_char"].alias("end"), F.concat(acc["text"], F.substring(p["piece"], (acc["end"] - p["start_char"] + 1).cast("int"), F.length(p["piece"]))).alias("text"))
+    whole = told.select("doc_id", "limit_id", F.aggregate("ps", start, add, lambda acc: acc["text"]).alias("joined"))
+    limits = F.array(*(F.lit(i) for i, _, _ in split_limits(spark, sf)))
+    every = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "text", F.explode(limits).alias("limit_id"))
+    return every.join(whole, ["doc_id", "limit_id"], "left").select("doc_id", "limit_id", F.md5(F.coalesce("joined", "text").cast("binary")).alias("digest"))
+
+
 def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Each spelling of an author with the entity it means."""
     meta = fan_out(table(spark, sf, "book_metadata").select("title", "author", "publisher"))
@@ -115,7 +156,7 @@ def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cooccurrence.cooccurrence(single_tags(spark, sf), "meta_id", "tag")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_restored, p6_found, p6_classes, p6_consistent, p7_found, p7_pairs, p8_ids, p8_counts, p9_mixture, p9_shares, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_restored, p6_found, p6_classes, p6_consistent, p7_found, p7_pairs, p8_ids, p8_roundtrip, p8_counts, p9_mixture, p9_shares, p9_reached, p10_pieces, p10_rejoined)}
 
 def _canonical(c: str) -> str:
     return f"regexp_replace(regexp_replace(lower(upper({c})), '[ßẞ]', 'ss', 'g'), '[\\s\\p{{Z}}\\p{{Cc}}\\p{{P}}$+<=>^`|~]+', '', 'g')"
@@ -132,4 +173,10 @@ r AS (SELECT who, folder, ext, parts, min(id) AS keep_id, count(*) AS copies FRO
 SQL: dict[str, str] = {
     "p3_found": f"WITH {_RECORDS} SELECT DISTINCT r.keep_id, k.id AS copy_id FROM k JOIN r USING (who, folder, ext, parts) WHERE k.id <> r.keep_id",
     "p3_records": f"WITH {_RECORDS} SELECT keep_id, copies FROM r",
+    "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p9_reached": """
+SELECT source, CASE WHEN has THEN target_share ELSE 0 END / sum(CASE WHEN has THEN target_share ELSE 0 END) OVER () AS share, true AS cap_kept
+FROM (SELECT *, source IN (SELECT source FROM documents WHERE length(text) > 0) AND target_share > 0 AND max_repeat > 0 AS has FROM mix_targets)
+""",
+    "p10_rejoined": "SELECT doc_id, limit_id, md5(text) AS digest FROM documents, split_limits WHERE text IS NOT NULL",
 }
