@@ -5,9 +5,9 @@ Two layers:
 * Pre-tokens are found and hashed for a whole chunk of text at once with numpy: every code point gets one of four
   classes, boundaries are class changes with the corrections the published pattern asks for, and a polynomial prefix
   hash gives each pre-token a 64-bit key. Equal pre-tokens are encoded once per worker.
-* One pre-token is encoded with a rank queue: buckets per merge rank hold positions of a linked list, a bitmap of three
-  levels of 64-bit words finds the lowest rank that has entries by find-first-set, stale entries are skipped. That is
-  O(n) queue steps for a pre-token of n bytes, whatever its length.
+* One pre-token is encoded with a rank queue: buckets per merge rank hold positions of a linked list, a bitmap of two
+  levels (64 ranks a word, and one bit for each word) finds the lowest rank that has entries by find-first-set, stale
+  entries are skipped. That is O(n) queue steps for a pre-token of n bytes, whatever its length.
 """
 
 from __future__ import annotations
@@ -36,117 +36,111 @@ _WHITE = {0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x20, *ran
 # ---------------------------------------------------------------- one pre-token
 
 
-class RankQueue:
-    """Positions by merge rank; the lowest occupied rank is found through three levels of 64-bit words."""
-
-    __slots__ = ("w0", "w1", "w2", "bucket")
-
-    def __init__(self, ranks: int):
-        self.w0 = [0] * ((ranks >> 6) + 1)
-        self.w1 = [0] * ((ranks >> 12) + 1)
-        self.w2 = [0] * ((ranks >> 18) + 1)
-        self.bucket: dict[int, list[int]] = {}
-
-    def push(self, rank: int, pos: int) -> None:
-        b = self.bucket.get(rank)
-        if b is not None:
-            b.append(pos)
-            return
-        self.bucket[rank] = [pos]
-        a = rank >> 6
-        if not self.w0[a]:
-            c = a >> 6
-            if not self.w1[c]:
-                self.w2[c >> 6] |= 1 << (c & 63)
-            self.w1[c] |= 1 << (a & 63)
-        self.w0[a] |= 1 << (rank & 63)
-
-    def pop_rank(self) -> tuple[int, list[int]] | None:
-        """The lowest rank and its positions, taken out of the queue."""
-        for top, w in enumerate(self.w2):
-            if w:
-                break
-        else:
-            return None
-        c = (top << 6) | ((w & -w).bit_length() - 1)
-        w = self.w1[c]
-        a = (c << 6) | ((w & -w).bit_length() - 1)
-        w = self.w0[a]
-        low = w & -w
-        rank = (a << 6) | (low.bit_length() - 1)
-        w ^= low
-        self.w0[a] = w
-        if not w:
-            w = self.w1[c] = self.w1[c] & ~(1 << (a & 63))
-            if not w:
-                self.w2[top] &= ~(1 << (c & 63))
-        return rank, self.bucket.pop(rank)
-
-
-def merge_word(word: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token; the queue is empty before and after."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    n = len(word)
-    get, bucket, w0, w1, w2 = ranks.get, queue.bucket, queue.w0, queue.w1, queue.w2
-    piece: list[bytes | None] = [word[i : i + 1] for i in range(n)]
-    nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-    at = [-1] * n  # the rank of the pair that begins here; an entry in the queue with another rank is stale
-
-    def push(rank: int, pos: int) -> None:  # as RankQueue.push, without its look-ups
-        have = bucket.get(rank)
-        if have is not None:
-            have.append(pos)
-            return
-        bucket[rank] = [pos]
-        a = rank >> 6
-        x = w0[a]
-        w0[a] = x | 1 << (rank & 63)
-        if not x:
-            c = a >> 6
-            y = w1[c]
-            w1[c] = y | 1 << (a & 63)
-            if not y:
-                w2[c >> 6] |= 1 << (c & 63)
-
-    for i in range(n - 1):
-        r = get(word[i : i + 2])
-        if r is not None:
-            at[i] = r
-            push(r, i)
-    while (low := queue.pop_rank()) is not None:
-        rank, places = low
-        if len(places) > 1:
-            places.sort()  # equal ranks merge from the left
-        for i in places:
-            if at[i] != rank or piece[i] is None:
-                continue
-            j = nxt[i]
-            k = nxt[j]
-            merged = piece[i] + piece[j]
-            piece[i], piece[j], at[j] = merged, None, -1
-            nxt[i] = k
-            at[i] = -1
-            if k < n:
-                prv[k] = i
-                r = get(merged + piece[k])
-                if r is not None:
-                    at[i] = r
-                    push(r, i)
-            p = prv[i]
-            if p >= 0:
-                r = get(piece[p] + merged)
-                if r is None:
-                    at[p] = -1
+class Pairs(dict):
+    """The rank of the token that two tokens make, by `left << SHIFT | right`; -1 if they make none. Filled as pairs are met."""
+
+    MOST = 2_000_000
+    __slots__ = ("token", "ranks")
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.token = ranks, {v: k for k, v in ranks.items()}
+
+    def __missing__(self, key: int) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        r = self[key] = self.ranks.get(self.token[key >> SHIFT] + self.token[key & (1 << SHIFT) - 1], -1)
+        return r
+
+
+SHIFT = 20
+
+
+class Merger:
+    """Merges pre-tokens; what the queue needs is kept from one to the next, and is empty between them."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.pairs = ranks, Pairs(ranks)
+        self.byte = [ranks[bytes((b,))] for b in range(256)]
+        self.words = [0] * ((max(ranks.values()) >> 6) + 1)
+
+    def ids(self, word: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        whole = self.ranks.get(word)
+        if whole is not None:
+            return [whole]
+        pairs, words, top, bucket = self.pairs, self.words, 0, {}
+        piece = list(map(self.byte.__getitem__, word))
+        n = len(piece)
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        at = [-1] * n  # the rank of the pair that begins here; an entry in the queue with another rank is stale
+        x = piece[0]
+        for i in range(n - 1):
+            y = piece[i + 1]
+            r = pairs[x << SHIFT | y]
+            x = y
+            if r >= 0:
+                at[i] = r
+                if r in bucket:
+                    bucket[r].append(i)
                 else:
-                    at[p] = r
-                    push(r, p)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i]])
-        i = nxt[i]
-    return out
+                    bucket[r] = [i]
+                    a = r >> 6
+                    v = words[a]
+                    if not v:
+                        top |= 1 << a
+                    words[a] = v | 1 << (r & 63)
+        while top:
+            a = (top & -top).bit_length() - 1  # find first set, in the word of words and in the word
+            v = words[a]
+            low = v & -v
+            words[a] = v = v ^ low
+            if not v:
+                top &= top - 1
+            rank = (a << 6) + low.bit_length() - 1
+            places = bucket.pop(rank)
+            if len(places) > 1:
+                places.sort()  # equal ranks merge from the left
+            for i in places:
+                if at[i] != rank:
+                    continue
+                j = nxt[i]
+                piece[i] = rank  # the token that the two make
+                at[j] = -2
+                k = nxt[i] = nxt[j]
+                at[i] = -1
+                if k < n:
+                    prv[k] = i
+                    r = pairs[rank << SHIFT | piece[k]]
+                    if r >= 0:
+                        at[i] = r
+                        if r in bucket:
+                            bucket[r].append(i)
+                        else:
+                            bucket[r] = [i]
+                            a = r >> 6
+                            v = words[a]
+                            if not v:
+                                top |= 1 << a
+                            words[a] = v | 1 << (r & 63)
+                p = prv[i]
+                if p >= 0:
+                    r = at[p] = pairs[piece[p] << SHIFT | rank]
+                    if r >= 0:
+                        if r in bucket:
+                            bucket[r].append(p)
+                        else:
+                            bucket[r] = [p]
+                            a = r >> 6
+                            v = words[a]
+                            if not v:
+                                top |= 1 << a
+                            words[a] = v | 1 << (r & 63)
+        out, i = [], 0
+        while i < n:
+            out.append(piece[i])
+            i = nxt[i]
+        return out
 
 
 # ---------------------------------------------------------------- pre-tokens of a chunk
@@ -215,7 +209,7 @@ class Tokenizer:
                 if line.strip():
                     token, rank = line.split()
                     self.ranks[base64.b64decode(token)] = int(rank)
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.merger = Merger(self.ranks)
         self.classes = CharClasses()
         step = np.uint64(0x9E3779B97F4A7C15)
         inverse = np.uint64(pow(int(step), -1, 1 << 64))
@@ -271,8 +265,9 @@ class Tokenizer:
             if self.words > len(self.begin):
                 self.begin = np.resize(self.begin, 2 * self.words)
                 self.count = np.resize(self.count, 2 * self.words)
+            merge = self.merger.ids
             for r, a, b in zip(where[f].tolist(), starts[example].tolist(), ends[example].tolist()):
-                ids = merge_word(cps[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"), self.ranks, self.queue)
+                ids = merge(cps[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"))
                 if self.used + len(ids) > len(self.ids):
                     self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
                 self.ids[self.used : self.used + len(ids)] = ids

@@ -54,8 +54,8 @@ def test_queue_and_scan_agree(tok):
     rng = random.Random(5)
     for _ in range(400):
         w = bytes(rng.choice(b"abcdeth \xe4\xb8\xad") for _ in range(rng.randint(1, 90)))
-        assert bpe.merge_word(w, tok.ranks, tok.queue) == ([tok.ranks[w]] if w in tok.ranks else scan(w, tok.ranks))
-        assert tok.queue.pop_rank() is None
+        assert tok.merger.ids(w) == ([tok.ranks[w]] if w in tok.ranks else scan(w, tok.ranks))
+        assert not any(tok.merger.words)  # the queue is empty again
 
 
 def test_very_long_word_is_near_linear(tok):
@@ -92,3 +92,10 @@ def test_whole_table(spark, data, truth):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = {r.doc_id: r.ids for r in QUERIES["p8_ids"](spark, data).collect()}
     assert got == {k: truth(t or "") for k, t in texts.items()}
+
+
+def test_pairs_are_bounded(tok, monkeypatch):
+    monkeypatch.setattr(bpe.Pairs, "MOST", 10)
+    m = bpe.Merger(tok.ranks)
+    for w in (b"abracadabra", b"hocuspocusxyz", "中文测试".encode()):
+        assert m.ids(w) == tok.merger.ids(w) and len(m.pairs) <= 10
