@@ -26,10 +26,17 @@ from librarium.session import checkpoint
 #: How good a place to cut is: a paragraph or block, a line, a sentence, a clause, between words, inside a run of letters.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 5, 4, 3, 2, 1, 0
 KINDS = ["inside", "word", "clause", "sentence", "line", "paragraph"]
-_END = np.frombuffer(".!?…。！？".encode("utf-32-le"), np.uint32)
-_CLAUSE = np.frombuffer(",;:，；：、—".encode("utf-32-le"), np.uint32)
-_CLOSE = np.frombuffer("\"'”’»)]）】」』“".encode("utf-32-le"), np.uint32)
-_NEWLINE = (0x0A, 0x0D, 0x2028, 0x2029, 0x85)
+#: What a character is for the places of cuts, one bit each: the end of a sentence, of a clause, a closing mark, the end of a line.
+_ENDS, _CLAUSES, _CLOSES, _NEWLINE = 1, 2, 4, 8
+_MARKS = np.zeros(0x10000, np.uint8)
+for _bit, _chars in ((_ENDS, ".!?…。！？"), (_CLAUSES, ",;:，；：、—"), (_CLOSES, "\"'”’»)]）】」』“"), (_NEWLINE, "\n\r\u2028\u2029\x85")):
+    _MARKS[[ord(_c) for _c in _chars]] |= _bit
+
+
+def marks_of(cps: np.ndarray) -> np.ndarray:
+    return _MARKS[np.minimum(cps, 0xFFFF)]
+
+
 #: A piece is filled to this part of the limit before the best boundary in the rest is taken.
 FILL = 0.5
 #: Characters of a range, and those past its end that are read to end on a boundary of pre-tokens.
@@ -58,16 +65,18 @@ def places(cps: np.ndarray, cls: np.ndarray, starts: np.ndarray, first: np.ndarr
     ok &= nxt < n
     nxt = np.minimum(nxt, n - 1)
     ok &= doc[nxt] == doc[p]
-    close = np.isin(cps, _CLOSE)
-    last = cps[np.maximum(np.maximum.accumulate(np.where(white | close, -1, idx))[before], 0)]
-    newline = np.isin(cps, _NEWLINE)
+    marks = marks_of(cps)
+    close = (marks & _CLOSES) > 0
+    at_last = np.maximum(np.maximum.accumulate(np.where(white | close, -1, idx))[before], 0)
+    last, last_mark = cps[at_last], marks[at_last]
+    newline = (marks & _NEWLINE) > 0
     newline[1:] &= ~((cps[1:] == 0x0A) & (cps[:-1] == 0x0D))
     breaks = np.concatenate([[0], np.cumsum(newline)])
     lines = breaks[nxt] - breaks[p]
     spaced = white[p] | (last >= 0x2E80)
     g = np.full(len(p), WORD, np.int8)
-    g[spaced & np.isin(last, _CLAUSE)] = CLAUSE
-    g[spaced & np.isin(last, _END) & ~close[p]] = SENTENCE
+    g[spaced & ((last_mark & _CLAUSES) > 0)] = CLAUSE
+    g[spaced & ((last_mark & _ENDS) > 0) & ~close[p]] = SENTENCE
     tag = (cps[before] == 0x3E) | (cps[nxt] == 0x3C)  # an HTML tag ends or begins
     g[tag & (g < SENTENCE)] = SENTENCE
     g[lines == 1] = LINE
@@ -369,12 +378,31 @@ def _pieces_of_chunk(part: list[str], tok, inner: Inner, limits, size: int = RAN
     pos, u, g = table_of(cps, cls, starts, rows, tokens, first, min(_step(m, o) for _, m, o in limits), inner)
     lo, hi = np.searchsorted(pos, bounds[:-1], "right").tolist(), np.searchsorted(pos, bounds[1:], "left").tolist()
     bounds, upto = bounds.tolist(), upto.tolist()
+    made, torn, texts = [], [], []
     for i, t in enumerate(part):
         if upto[i + 1] - upto[i] > least:
             x, y = lo[i], hi[i]
-            p = [0, *(pos[x:y] - bounds[i]).tolist(), bounds[i + 1] - bounds[i]]
-            for row in pieces_of(t, p, [upto[i], *u[x:y].tolist(), upto[i + 1]], [PARAGRAPH, *g[x:y].tolist(), PARAGRAPH], limits, tok.count_many):
-                yield i, row
+            p, v, k = [0, *(pos[x:y] - bounds[i]).tolist(), bounds[i + 1] - bounds[i]], [upto[i], *u[x:y].tolist(), upto[i + 1]], [PARAGRAPH, *g[x:y].tolist(), PARAGRAPH]
+            for limit in limits:
+                limit_id, most, overlap = limit
+                if v[-1] - v[0] <= most:
+                    continue
+                rows = []
+                for no, (a, b, n, kind, cut) in enumerate(choose(p, v, k, most, min(overlap, most // 2))):
+                    rows.append([limit_id, no, a, b, n, KINDS[kind], t[a:b]])
+                    if cut:
+                        torn.append((len(made), no))
+                        texts.append(t[a:b])
+                made.append((i, limit, rows, p, v, k))
+    # where a pre-token is cut its parts are encoded anew, for all texts of the chunk at once
+    large = set()
+    for (m, no), n in zip(torn, tok.count_many(texts).tolist() if texts else ()):
+        made[m][2][no][4] = n
+        if n > made[m][1][1]:
+            large.add(m)
+    for m, (i, limit, rows, p, v, k) in enumerate(made):
+        for row in pieces_of(part[i], p, v, k, [limit], tok.count_many) if m in large else rows:
+            yield i, row
 
 
 def _batch(keys: pa.Array, out: list[list], names: list[str]) -> pa.RecordBatch:
@@ -510,7 +538,7 @@ def _split_ranges(ranges: DataFrame, keys: DataFrame, whole: Callable[[DataFrame
                     p, u, g = [start + begin + x for x in (0, *p.tolist(), len(c2))], [0, *u.tolist(), int(tokens.sum())], [PARAGRAPH, *g.tolist(), PARAGRAPH]
                     if begin:  # the place where two ranges meet: white space that begins the range tells how good it is
                         lead = len(piece) - len(piece.lstrip())
-                        breaks = int(np.isin(c2[:lead], _NEWLINE).sum())
+                        breaks = int(((marks_of(c2[:lead]) & _NEWLINE) > 0).sum())
                         g[0] = PARAGRAPH if breaks > 1 else LINE if breaks else WORD
                 yield _batch_of(measured, [(row, no, base, last, begin < 0 or end < 0, p, u, g)])
 
