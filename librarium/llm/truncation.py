@@ -50,7 +50,8 @@ _IS_QUOTE[[ord(c) for c in _QUOTE_MARKS]] = 1
 #: Characters in which the last contexts are looked for first.
 TAIL = 96
 _PART_WORD = re.compile(r"^\w+", re.UNICODE)
-CHUNK = 1 << 19
+#: Characters hashed at once, so that the arrays stay near the processor; keys gathered before they are counted and handed on.
+CHUNK, GATHER = 1 << 17, 1 << 21
 
 
 def trimmed(text: str) -> str:
@@ -219,19 +220,26 @@ def count_contexts(texts: DataFrame, column: str, common: list[str], ending: byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = set(words.value), np.frombuffer(shared.value, np.uint8)
+        ends, inside, held = [], [], 0
         for batch in batches:
             for texts in _sliced([trimmed(t) for t in batch.column(0).to_pylist() if t]):
                 for kind, lengths, c in ((0, LENGTHS, Contexts(texts)), (1, NAMED, Contexts([named(t, known) for t in texts]))):
-                    for n, inside in zip(lengths, c.inner(lengths, kind, bits)):
+                    for n, keys in zip(lengths, c.inner(lengths, kind, bits)):
                         key, ok = c.keys(c.end, n, kind)
-                        yield _counted(key[ok], True)
-                        yield _counted(inside, False)
-
-    def _counted(key: np.ndarray, ends: bool) -> pa.RecordBatch:
-        codes, k = pd.factorize(key)
-        n = np.bincount(codes, minlength=len(k)).astype(np.int64)
-        zero = np.zeros(len(k), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k, n, zero] if ends else [k, zero, n])], names=_KEYED.names)
+                        ends.append(key[ok])
+                        inside.append(keys)
+                        held += len(keys)
+                if held > GATHER:
+                    yield _counted(ends, inside)
+                    ends, inside, held = [], [], 0
+        if ends:
+            yield _counted(ends, inside)
+
+    def _counted(ends: list[np.ndarray], inside: list[np.ndarray]) -> pa.RecordBatch:
+        codes, k = pd.factorize(np.concatenate([*ends, *inside]))
+        first = sum(map(len, ends))
+        n = [np.bincount(c, minlength=len(k)).astype(np.int64) for c in (codes[:first], codes[first:])]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, *n)], names=_KEYED.names)
 
     counted = texts.select(column).mapInArrow(run, _KEYED)
     return counted.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")).filter("ends > 0")
