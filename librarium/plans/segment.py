@@ -77,12 +77,15 @@ def chapter_structs(text: Column, pattern: str | None = None, compat: bool = Fal
         found = F.when(m["title"].isNotNull(), F.concat(acc["found"], F.array(F.struct(m["title"].alias("title"), acc["pos"].alias("pos"))))).otherwise(acc["found"])
         return F.struct((acc["pos"] + step(m)).cast("int").alias("pos"), found.alias("found"))
 
-    found = F.aggregate(marked, start, walk, lambda acc: acc["found"])
     whole = F.array(F.struct(F.lit(WHOLE).alias("title"), F.lit(0).alias("pos")))
-    ends = lambda xs: F.transform(
-        xs, lambda c, i: F.struct(i.alias("index"), X.clean_title(c["title"]).alias("title"), c["pos"].alias("start_pos"), F.coalesce(F.try_element_at(xs, i + 2)["pos"], F.length(text)).alias("end_pos"))
-    )
-    return F.when(text.isNull(), F.lit(None)).otherwise(ends(F.when(F.size(found) > 0, found).otherwise(whole)))
+
+    def ends(acc: Column) -> Column:
+        """Inside the fold, so that what was found is a variable there and is not found anew for each chapter."""
+        xs = F.when(F.size(acc["found"]) > 0, acc["found"]).otherwise(whole)
+        n = F.length(text) if compat else acc["pos"]
+        return F.transform(xs, lambda c, i: F.struct(i.alias("index"), X.clean_title(c["title"]).alias("title"), c["pos"].alias("start_pos"), F.coalesce(F.try_element_at(xs, i + 2)["pos"], n).alias("end_pos")))
+
+    return F.when(text.isNull(), F.lit(None)).otherwise(F.aggregate(marked, start, walk, ends))
 
 
 def with_body(df: DataFrame, key: str, text: str = "text", pattern: str | None = None) -> DataFrame:
