@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -197,30 +199,64 @@ def code(token: str) -> str:
     return c[:1] + c[1:].replace("0", "") if c else token[:1]
 
 
-#: Persons of so many names or fewer are met by every part of their names and every full name of their short forms, others
-#: by all but one name and by each one, with the first full name of each.
+#: Of persons of so many names or fewer all parts of their names and all choices of full names are listed as keys. These
+#: multiply with every name, so persons of more names are looked for by keys that only add up (codes of short forms merged,
+#: single names that stay), which let through too much but leave nothing out, and each pair found is checked (meets, fits).
 WHOLE = 5
+#: Persons of more names list their choices of full names too, up to so many; those with more meet all others by merged codes.
+CHOICES = 64
 
 
-def block_keys(kind: str, tokens: tuple[str, ...]) -> set[str]:
+def full_names(token: str) -> set[str]:
+    """What a name of a person may stand for: itself and, for a short form, each of its full names."""
+    return {token, *NICKS.get(token, ())}
+
+
+def _merged() -> dict[str, str]:
+    """Each code of a short form or of one of its full names, with the code that stands for all that are linked to it so."""
+    groups: dict[str, set[str]] = {}
+    for short in NICKS:
+        codes = {code(x) for x in full_names(short)}
+        one = codes.union(*(groups.get(c, ()) for c in codes))
+        groups.update(dict.fromkeys(one, one))
+    return {c: min(g) for c, g in groups.items()}
+
+
+MERGED = _merged()
+
+
+def remains(options: set[str]) -> set[str]:
+    """Code and length of a token, as any of its options, with at most one letter left out."""
+    return {f"{code(y)}{len(y)}" for x in options for y in (x, *(x[:k] + x[k + 1 :] for k in range(len(x))))}
+
+
+def many_choices(kind: str, tokens: tuple[str, ...]) -> bool:
+    """Whether the choices of full names of a person are too many to be listed."""
+    return kind == "person" and len(tokens) > WHOLE and prod(len({code(x) for x in full_names(w)}) for w in tokens) > CHOICES
+
+
+def block_keys(kind: str, tokens: tuple[str, ...], merged: bool | None = None) -> set[str]:
     """Keys by which alike forms meet: the codes of all tokens but one, and code and length of that one with at most one letter left out.
 
     Two tokens one slip apart are equal once a letter is left out of one of them or of each, so forms that differ by a
-    slip always share a key, and the length of what is left keeps apart most tokens that only sound alike. In names of
-    more than WHOLE parts, where the ways to read short forms would multiply, each stands for its first full name. (Their codes may differ by two symbols: a consonant also parts two of one class.) A short
-    form stands for its full names too.
+    slip always share a key, and the length of what is left keeps apart most tokens that only sound alike. (Their codes may
+    differ by two symbols: a consonant also parts two of one class.) A short form stands for its full names too. With
+    `merged` codes (where the choices are too many, unless it is given) one code stands for all that short forms and full
+    names have in common: two persons share a merged key whenever they share one of all choices listed, and `meets` says
+    whether they do.
     """
-    options = [{x, *NICKS.get(x, ())} if kind == "person" and len(tokens) <= WHOLE else {min(NICKS.get(x, (x,)))} if kind == "person" else {x} for x in tokens]
+    options = [full_names(x) if kind == "person" else {x} for x in tokens]
+    codes = [{code(x) for x in o} for o in options]
+    if many_choices(kind, tokens) if merged is None else merged:
+        codes = [{MERGED.get(c, c) for c in own} for own in codes]
     out = set()
     for i, mine in enumerate(options):
         rest = [""]
-        for j, other in enumerate(options):
+        for j, other in enumerate(codes):
             if j != i:
-                rest = [f"{r} {c}" for r in rest for c in {code(x) for x in other}]
+                rest = [f"{r} {c}" for r in rest for c in other]
         rest = {" ".join(sorted(r.split())) for r in rest}
-        for x in mine:
-            for v in {f"{code(x)}{len(x)}", *(f"{code(x[:k] + x[k + 1 :])}{len(x) - 1}" for k in range(len(x)))}:
-                out.update(f"{kind[0]}{len(tokens)}|{r}|{v}" for r in rest)
+        out.update(f"{kind[0]}{len(tokens)}|{r}|{v}" for v in remains(mine) for r in rest)
     return out
 
 
@@ -288,7 +324,7 @@ def assigned(good: list[list[int]]) -> bool:
     owner: dict[int, int] = {}
 
     def place(i: int, tried: set[int]) -> bool:
-        for j in good[i]:
+        for j in sorted(good[i], key=owner.__contains__):  # free ones first
             if j not in tried:
                 tried.add(j)
                 if j not in owner or place(owner[j], tried):
@@ -311,6 +347,26 @@ def same_name(a: tuple[str, ...], ia: tuple[str, ...], b: tuple[str, ...], ib: t
     return assigned([[j for j, v in enumerate(y) if (kind == "person" and nickname(w, v)) or slip(w, v, seen.get(w, 1), seen.get(v, 1))] for w in x])
 
 
+def meets(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """Whether two persons of equally many names would share a key if every choice of full names was listed.
+
+    One name of each is left out, which have a remainder in common; the others pair off so that two of a pair have the code
+    of a full name in common.
+    """
+    mine, other = [full_names(w) for w in a], [full_names(w) for w in b]
+    codes = [{code(x) for x in o} for o in other]
+    good = [[j for j, own in enumerate(codes) if not own.isdisjoint({code(x) for x in o})] for o in mine]
+    single = [i for i, g in enumerate(good) if not g]  # without a partner, so only these can be left out
+    if len(single) > 1:
+        return False
+    left = [remains(o) for o in other]
+    for i in single or sorted(range(len(a)), key=lambda i: a[i] in b):
+        for j in sorted(range(len(b)), key=lambda j: b[j] in a):
+            if not left[j].isdisjoint(remains(mine[i])) and assigned([[x for x in g if x != j] for k, g in enumerate(good) if k != i]):
+                return True
+    return False
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node of each component, for every node that has an edge.
 
@@ -344,14 +400,29 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_FORM.names)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_KEYED = T.StructType([T.StructField("form", T.StringType()), T.StructField("block", T.StringType())])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: Callable[[str, tuple[str, ...]], Iterable[str]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        form_of, keys = [], []
+        form_of, out = [], []
         for f, k, t in zip(*(c.to_pylist() for c in batch.columns)):
-            ks = block_keys(k, tuple(t))
+            ks = keys(k, tuple(t))
             form_of += [f] * len(ks)
-            keys += ks
-        yield pa.RecordBatch.from_arrays([pa.array(form_of, pa.string()), pa.array(keys, pa.string())], names=["form", "block"])
+            out += ks
+        yield pa.RecordBatch.from_arrays([pa.array(form_of, pa.string()), pa.array(out, pa.string())], names=_KEYED.names)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _blocks(batches, block_keys)
+
+
+def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _blocks(batches, lambda kind, tokens: block_keys(kind, tokens, True) if many_choices(kind, tokens) else ())
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _blocks(batches, lambda kind, tokens: () if many_choices(kind, tokens) else block_keys(kind, tokens, True))
 
 
 def _accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +434,7 @@ def _accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kb, tb, ib = fb.split("|")
             ta, tb = tuple(ta.split()), tuple(tb.split())
             seen = dict(zip(ta, sa)) | dict(zip(tb, sb))
-            if ka == kb and same_name(ta, tuple(ia.split()), tb, tuple(ib.split()), seen, "person" if ka == "p" else "organisation"):
+            if ka == kb and same_name(ta, tuple(ia.split()), tb, tuple(ib.split()), seen, "person" if ka == "p" else "organisation") and (ka != "p" or len(ta) <= WHOLE or meets(ta, tb)):
                 a.append(fa)
                 b.append(fb)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
@@ -405,9 +476,12 @@ def _links(forms: DataFrame) -> DataFrame:
     seen = whole.select(F.explode(F.array_distinct("tokens")).alias("token"), "kind", F.concat_ws(" ", "tokens").alias("all")).distinct().groupBy("token", "kind").agg(F.count(F.lit(1)).alias("n"))
     counts = whole.select("form", "kind", F.posexplode("tokens").alias("at", "token")).join(seen, ["token", "kind"]).groupBy("form").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("s"))
     counts = counts.select("form", F.col("s.n").alias("seen"))
-    keyed = T.StructType([T.StructField("form", T.StringType()), T.StructField("block", T.StringType())])
-    blocks = checkpoint(whole.select("form", "kind", "tokens").mapInArrow(_keyed, keyed))
-    pairs = blocks.join(blocks.withColumnRenamed("form", "other"), "block").filter("form < other").select("form", "other").distinct()
+    blocks = checkpoint(whole.select("form", "kind", "tokens").mapInArrow(_keyed, _KEYED))
+    pairs = blocks.join(blocks.withColumnRenamed("form", "other"), "block").filter("form < other").select("form", "other")
+    # persons whose choices are too many and those who have theirs listed
+    long = whole.filter((F.col("kind") == "person") & (F.size("tokens") > WHOLE)).select("form", "kind", "tokens")
+    mixed = long.mapInArrow(_many, _KEYED).join(long.mapInArrow(_few, _KEYED).withColumnRenamed("form", "other"), "block")
+    pairs = pairs.unionByName(mixed.select(F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other"))).distinct()
     pairs = pairs.join(counts, "form").join(counts.select(F.col("form").alias("other"), F.col("seen").alias("seen_b")), "other").select("form", "other", "seen", "seen_b")
     accepted = checkpoint(spread(pairs).mapInArrow(_accepted, T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])))
     # a form without a middle initial must not join people whose initials disagree
@@ -420,7 +494,11 @@ def _links(forms: DataFrame) -> DataFrame:
 
 
 def kept_parts(tokens: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], tuple[str, ...]]]:
-    """(names that stay, names that become initials) in all ways a person's names may be shortened."""
+    """(names that stay, names that become initials) in all ways a person's names may be shortened.
+
+    Of more than WHOLE names only the ways that one of them becomes an initial or one stays; by the latter `_anchors` finds
+    all short forms of two initials or more.
+    """
     n = len(tokens)
     sizes = range(1, n) if n <= WHOLE else (1, n - 1)
     for size in sizes:
@@ -428,6 +506,21 @@ def kept_parts(tokens: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], tuple
             yield tuple(tokens[i] for i in keep), tuple(tokens[i] for i in range(n) if i not in keep)
 
 
+def listed(names: int, initials: int) -> bool:
+    """Whether a short form of so many initials of a person of so many names is found by all names that stay, or else by one of them."""
+    return names <= WHOLE or initials == 1
+
+
+def first_letters(token: str) -> list[str]:
+    """Initials of a name; a short form stands for its full names, so for their initials too."""
+    return sorted({w[0] for w in full_names(token)})
+
+
+def shortened(kind: str, initials: list[str], alone: bool) -> bool:
+    """Whether a form may be a short form of another one."""
+    return bool(initials) and (kind == "initials" or (kind == "person" and alone))
+
+
 _SIDES = T.StructType([T.StructField(c, T.StringType()) for c in ("who", "kept", "firsts", "middle", "side")])
 
 
@@ -436,24 +529,109 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = set()
         for f, kind, tokens, initials, entity, alone in zip(*(c.to_pylist() for c in batch.columns)):
-            if initials and (kind == "initials" or (kind == "person" and alone)):
+            if shortened(kind, initials, alone):
                 for r in range(1, len(initials) + 1):
-                    out.add((f, " ".join(tokens), "".join(sorted(initials[:r])), initials[r] if r < len(initials) else None, "s"))
+                    if listed(len(tokens) + r, r):
+                        out.add((f, " ".join(tokens), "".join(sorted(initials[:r])), initials[r] if r < len(initials) else None, "s"))
             if kind == "person":
                 for keep, gone in kept_parts(tuple(tokens)):
-                    letters = [""]
-                    for w in gone:  # a short form stands for its full names, so for their initials too
-                        letters = [x + c for x in letters for c in (sorted({w[0], *(v[0] for v in NICKS.get(w, ()))}) if len(gone) < WHOLE else w[0])]
-                    out.update((entity, " ".join(keep), "".join(sorted(x)), initials[0] if initials else None, "p") for x in letters)
+                    if listed(len(tokens), len(gone)):
+                        letters = [""]
+                        for w in gone:
+                            letters = [x + c for x in letters for c in first_letters(w)]
+                        out.update((entity, " ".join(keep), "".join(sorted(x)), initials[0] if initials else None, "p") for x in letters)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*sorted(out, key=repr)) if out else [[]] * 5)], names=_SIDES.names)
 
 
+#: A person whose names may begin with more sets of letters than this is found by one name and the number of names alone.
+SETS = 64
+
+
+def letter_sets(tokens: tuple[str, ...]) -> set[str]:
+    """The first letters that all names may have, each with its number; one empty set, which every short form looks for too, if there are more than SETS."""
+    found = {()}
+    for options in sorted(map(first_letters, tokens), key=len):
+        found = {tuple(sorted((*x, c))) for x in found for c in options}
+        if len(found) > SETS:
+            return {""}
+    return {"".join(f"{c}{n}" for c, n in Counter(x).items()) for x in found}
+
+
+def anchors(tokens: tuple[str, ...]) -> set[str]:
+    """Keys of a person of more than WHOLE names: each single name that may stay, with the number and first letters of all."""
+    sets = letter_sets(tokens)
+    return {f"{len(tokens)} {keep[0]} {x}" for keep, gone in kept_parts(tokens) if len(keep) == 1 for x in sets}
+
+
+def short_anchors(tokens: tuple[str, ...], initials: tuple[str, ...]) -> set[str]:
+    """Keys of a short form, of which it shares one with each person of more than WHOLE names that it may mean: its longest name, with all first letters and without."""
+    out, stays = set(), max(tokens, key=lambda w: (len(w), w))
+    for r in range(1, len(initials) + 1):
+        n = len(tokens) + r
+        if not listed(n, r):
+            letters = Counter(sorted([w[0] for w in tokens] + list(initials[:r])))
+            out.update((f"{n} {stays} {''.join(f'{c}{k}' for c, k in letters.items())}", f"{n} {stays} "))
+    return out
+
+
+def fits(tokens: tuple[str, ...], initials: tuple[str, ...], person: tuple[str, ...]) -> bool:
+    """Whether a person's names are those of a short form and others that begin with its initials."""
+    mine, other = Counter(tokens), Counter(person)
+    if mine - other or len(tokens) + len(initials) != len(person):
+        return False
+    return assigned([[j for j, c in enumerate(initials) if c in first_letters(w)] for w in (other - mine).elements()])
+
+
+_ANCHORS = T.StructType([T.StructField(c, T.StringType()) for c in ("who", "entity", "anchor")])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], keys: Callable[[tuple[str, ...], tuple[str, ...]], Iterable[str]]) -> Iterator[pa.RecordBatch]:
+    """Forms with their entity by the keys of their tokens and initials."""
+    for batch in batches:
+        out = [(f, entity, x) for f, tokens, initials, entity in zip(*(c.to_pylist() for c in batch.columns)) for x in keys(tuple(tokens), tuple(initials))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 3)], names=_ANCHORS.names)
+
+
+def _short_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _anchors(batches, short_anchors)
+
+
+def _long_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _anchors(batches, lambda tokens, initials: anchors(tokens))
+
+
+_KNOWN = T.StructType([T.StructField(c, T.StringType()) for c in ("form", "entity", "middle", "has")])
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short forms with the entities of the persons they fit, and the middle initials of both."""
+    for batch in batches:
+        out = []
+        for f, person, entity in zip(*(c.to_pylist() for c in batch.columns)):
+            (_, ta, ia), (_, tb, ib) = ([x.split() for x in g.split("|")] for g in (f, person))
+            r = len(tb) - len(ta)
+            if fits(tuple(ta), tuple(ia[:r]), tuple(tb)):
+                out.append((f, entity, ia[r] if r < len(ia) else None, ib[0] if ib else None))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 4)], names=_KNOWN.names)
+
+
+def _known_by_anchors(full: DataFrame) -> DataFrame:
+    """(form, entity, middle, has) of short forms of two initials or more and the persons of more than WHOLE names that they fit."""
+    columns = ("form", "tokens", "initials", "entity")
+    short = full.filter("kind = 'initials' OR (kind = 'person' AND alone)").filter((F.size("initials") > 1) & (F.size("tokens") + F.size("initials") > WHOLE))
+    person = full.filter((F.col("kind") == "person") & (F.size("tokens") > WHOLE))
+    short = short.select(*columns).mapInArrow(_short_side, _ANCHORS).select(F.col("who").alias("form"), "anchor")
+    person = person.select(*columns).mapInArrow(_long_side, _ANCHORS).select(F.col("who").alias("person"), "entity", "anchor")
+    return short.join(person, "anchor").select("form", "person", "entity").mapInArrow(_fitting, _KNOWN)
+
+
 def _initial_forms(full: DataFrame) -> DataFrame:
     """(form, joins): forms with initials, and the one entity that fits them."""
     sides = checkpoint(full.select("form", "kind", "tokens", "initials", "entity", "alone").mapInArrow(_sides, _SIDES))
     short = sides.filter("side = 's'").select(F.col("who").alias("form"), "kept", "firsts", "middle")
     person = sides.filter("side = 'p'").select(F.col("who").alias("entity"), "kept", "firsts", F.col("middle").alias("has"))
-    known = short.join(person, ["kept", "firsts"]).groupBy("form", "entity").agg(F.max("middle").alias("middle"), F.max("has").alias("has"))
+    known = short.join(person, ["kept", "firsts"]).select("form", "entity", "middle", "has").unionByName(_known_by_anchors(full))
+    known = known.groupBy("form", "entity").agg(F.max("middle").alias("middle"), F.max("has").alias("has"))
     # an entity known with another middle initial does not fit
     known = known.filter("middle IS NULL OR has IS NULL OR middle = has")
     one = known.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("any"), F.count_if(F.col("middle") == F.col("has")).alias("exact"), F.min(F.when(F.expr("middle = has"), F.col("entity"))).alias("same"))

@@ -111,3 +111,73 @@ def test_many_short_forms_do_not_multiply(spark):
     df = spark.createDataFrame([(many,), (many.replace("abby", "Abby"),), (many + " zz",)], "author STRING")
     assert [tuple(r) for r in M.pairs(M.variants(df)).collect()] == [tuple(sorted((many, many.replace("abby", "Abby"))))]
     assert time.time() - began < 60
+
+
+LONG = [  # persons of six names or more, of which some stay and the others are initials or short forms
+    ["Armun Belkor Corvath Dremwick Elbrast Fosterhay", "A. B. C. Dremwick Elbrast Fosterhay", "C. D. Armun Belkor Elbrast Fosterhay", "A. B. C. D. E. Fosterhay", "Armun B. Corvath Dremwick Elbrast Fosterhay"],
+    ["Helen Armun Belkor Corvath Dremwick Grimbelt", "Nell Armun Belkor Corvath Dremwick Grimbelt", "H. B. Armun Corvath Dremwick Grimbelt"],
+    ["Bobby Olmast Pulver Quendric Rastol Hollumak", "Bobbyy Olmast Pulver Quendric Rastol Hollumak", "R. O. Pulver Quendric Rastol Hollumak", "R. O. P. Q. R. Hollumak"],
+    ["Bob Bill Dick Ted Peggy Hank Jimmy Kitty Ingelmast", "Robert William Richard Edward Margaret Henry James Katherine Ingelmast", "R. W. R. E. M. H. J. Kitty Ingelmast", "B. B. D. T. P. H. J. K. Ingelmast"],
+    ["Sorvel Tambrick Umbrel Vandest Wolmar Jorvick"], ["Sandor Tolbert Umbrel Vandest Wolmar Jorvick"], ["S. T. Umbrel Vandest Wolmar Jorvick"],
+]
+
+
+def test_long_names(spark):
+    df = spark.createDataFrame([(n,) for g in LONG for n in g], "author STRING")
+    got = {}
+    for r in M.variants(df).collect():
+        got.setdefault(r.entity, set()).add(r.name)
+    assert {frozenset(g) for g in got.values()} == set(map(frozenset, LONG))
+
+
+def test_long_names_meet_as_all_choices_listed(monkeypatch):
+    import random
+
+    draw = random.Random(7)
+    words = sorted(M.NICKS)[::9] + ["robert", "william", "helen", "catherine", "willaim", "bobbyy", "smithon", "smithson", "corvath", "korvad"]
+    listed = {}
+    forms = [tuple(sorted(draw.choice(words) for _ in range(6))) for _ in range(60)]
+    for f in forms[:60]:  # and each with one or two names replaced by what they may stand for, or by any
+        forms.append(tuple(sorted(draw.choice(sorted(M.full_names(w))) for w in f)))
+        forms.append(tuple(sorted((*f[1:], draw.choice(words)))))
+    with monkeypatch.context() as m:
+        m.setattr(M, "WHOLE", 99)
+        listed = {f: M.block_keys("person", f) for f in forms}
+    merged = {f: M.block_keys("person", f, True) for f in forms}
+    many = both = 0
+    for a, b in itertools.combinations(sorted(set(forms)), 2):
+        meet = bool(listed[a] & listed[b])
+        assert M.meets(a, b) == meet, (a, b)
+        assert not meet or merged[a] & merged[b], (a, b)
+        many, both = many + meet, both + bool(merged[a] & merged[b])
+    assert 50 < many < both
+
+
+def test_long_names_fit_as_all_parts_listed(monkeypatch):
+    import random
+
+    draw = random.Random(11)
+    words = ["bob", "robert", "nell", "helen", "rastol", "cormun", "hollumak", "bob"]
+    persons = [tuple(sorted(draw.choice(words) for _ in range(n))) for n in (6, 7) for _ in range(25)]
+    shorts = set()
+    for p in persons:
+        for size in range(1, len(p)):
+            keep = sorted(draw.sample(range(len(p)), size))
+            letters = [draw.choice([*M.first_letters(p[i]), "r"]) for i in range(len(p)) if i not in keep]
+            draw.shuffle(letters)
+            shorts.add((tuple(p[i] for i in keep), tuple(letters)))
+    with monkeypatch.context() as m:
+        m.setattr(M, "WHOLE", 99)
+        ways = {p: {(k, tuple(sorted(x))) for k, gone in M.kept_parts(p) for x in itertools.product(*map(M.first_letters, gone))} for p in persons}
+    met = 0
+    for sets in (64, 0):  # by all letters, and by the number of names alone
+        monkeypatch.setattr(M, "SETS", sets)
+        for p in persons:
+            keys = M.anchors(p)
+            for kept, letters in shorts:
+                same = (kept, tuple(sorted(letters))) in ways[p]
+                assert M.fits(kept, letters, p) == same, (kept, letters, p)
+                if same and len(letters) > 1:
+                    met += 1
+                    assert len(M.short_anchors(kept, letters) & keys) == 1, (kept, letters, p)
+    assert met > 100
